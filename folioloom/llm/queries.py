@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm import encode
+from folioloom.llm import encode, leakage, site_lines
 from folioloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    return site_lines.repeated_lines(table(spark, directory, "ocr_blocks")).select("block_key", "line_no")
+
+
+def p2_templates(spark: SparkSession, directory: str) -> DataFrame:
+    return site_lines.templates(table(spark, directory, "ocr_blocks"))
+
+
+def p2_clean(spark: SparkSession, directory: str) -> DataFrame:
+    return site_lines.without_repeated(table(spark, directory, "ocr_blocks"))
+
+
 def p6_ids(spark: SparkSession, directory: str) -> DataFrame:
     return encode.encode_texts(table(spark, directory, "documents"))
 
@@ -21,12 +33,43 @@ def p6_decoded(spark: SparkSession, directory: str) -> DataFrame:
     return encode.decode_ids(encode.encode_texts(table(spark, directory, "documents")))
 
 
+def p7_found(spark: SparkSession, directory: str) -> DataFrame:
+    return leakage.leaks(table(spark, directory, "documents"), table(spark, directory, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_clean(spark: SparkSession, directory: str) -> DataFrame:
+    return leakage.without_leaks(table(spark, directory, "documents"), table(spark, directory, "eval_items"))
+
+
+_REPEATED = """
+WITH cut AS (
+    SELECT block_key, source, document_id, string_split(block_content, chr(10)) AS parts FROM ocr_blocks
+    WHERE block_content IS NOT NULL AND coalesce(lower(trim(block_label)), '') NOT IN ('doc_title', 'paragraph_title', 'figure_title', 'table', 'number')
+), lines AS (
+    SELECT block_key, source, document_id, unnest(range(1, len(parts) + 1)) AS line_no, unnest(parts) AS line FROM cut
+), keyed AS (
+    SELECT block_key, source, document_id, line_no, regexp_replace(lower(line), '[^\\p{L}]+', '', 'g') AS letters FROM lines
+), repeated AS (
+    SELECT block_key, line_no FROM keyed JOIN (
+        SELECT source, letters FROM keyed WHERE length(letters) >= 10 GROUP BY 1, 2 HAVING count(DISTINCT document_id) >= 5
+    ) USING (source, letters)
+)
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p6_ids, p6_decoded)}
+    return {f.__name__: f for f in (p2_found, p2_templates, p2_clean, p6_ids, p6_decoded, p7_found, p7_clean)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": f"{_REPEATED} SELECT block_key, line_no FROM repeated",
+        "p2_clean": f"""{_REPEATED}, gone AS (SELECT block_key, list(line_no) AS gone FROM repeated GROUP BY 1)
+            SELECT block_key,
+                   CASE WHEN gone IS NULL THEN block_content ELSE array_to_string(list_filter(string_split(block_content, chr(10)),
+                       lambda x, i: NOT list_contains(gone, i)), chr(10)) END AS block_content,
+                   coalesce(len(gone), 0)::INT AS removed
+            FROM ocr_blocks LEFT JOIN gone USING (block_key)""",
         # a text survives encoding and decoding unchanged
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }
