@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm import encode, leakage, site_lines
+from folioloom.llm import encode, leakage, markup, scan_noise, site_lines, split
 from folioloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,30 @@ def p2_clean(spark: SparkSession, directory: str) -> DataFrame:
     return site_lines.without_repeated(table(spark, directory, "ocr_blocks"))
 
 
+def p3_pieces(spark: SparkSession, directory: str) -> DataFrame:
+    return split.split_chunks(*(table(spark, directory, t) for t in ("chunks", "sentences", "chunking_configs")))
+
+
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    return p3_pieces(spark, directory).where("oversized AND piece_no = 1").select("chunk_key")
+
+
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    return markup.markup_found(table(spark, directory, "ocr_blocks"))
+
+
+def p4_clean(spark: SparkSession, directory: str) -> DataFrame:
+    return markup.without_markup(table(spark, directory, "ocr_blocks"))
+
+
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    return scan_noise.noise_found(table(spark, directory, "ocr_blocks"))
+
+
+def p5_paragraphs(spark: SparkSession, directory: str) -> DataFrame:
+    return scan_noise.paragraphs(table(spark, directory, "ocr_blocks"))
+
+
 def p6_ids(spark: SparkSession, directory: str) -> DataFrame:
     return encode.encode_texts(table(spark, directory, "documents"))
 
@@ -58,7 +82,7 @@ WITH cut AS (
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_templates, p2_clean, p6_ids, p6_decoded, p7_found, p7_clean)}
+    return {f.__name__: f for f in (p2_found, p2_templates, p2_clean, p3_found, p3_pieces, p4_found, p4_clean, p5_found, p5_paragraphs, p6_ids, p6_decoded, p7_found, p7_clean)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -70,6 +94,9 @@ def oracle_sql() -> dict[str, str]:
                        lambda x, i: NOT list_contains(gone, i)), chr(10)) END AS block_content,
                    coalesce(len(gone), 0)::INT AS removed
             FROM ocr_blocks LEFT JOIN gone USING (block_key)""",
+        "p3_found": """
+            SELECT chunk_key FROM chunks JOIN chunking_configs USING (config_id)
+            WHERE len(regexp_extract_all(text, '[^\\s\\x1c-\\x1f\\x0b\\x{85}\\p{Z}]+')) > max_tokens""",
         # a text survives encoding and decoding unchanged
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }
