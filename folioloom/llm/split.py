@@ -216,19 +216,19 @@ def split_chunks(chunks: DataFrame, sentences: DataFrame, configs: DataFrame) ->
     ``new_from`` is the offset in ``text`` at which the part not repeated from the piece before begins.
     """
     limits = configs.groupBy("config_id").agg(F.max("max_tokens").alias("max_tokens"), F.max("overlap").alias("overlap"))
-    base = chunks.where(F.col("text").isNotNull()).select("chunk_key", "document_id", "config_id", "sentence_ids", "text").join(limits, "config_id", "left").withColumn("nr", F.monotonically_increasing_id()).withColumn("large", F.coalesce((F.col("max_tokens") > 0) & (word_count(F.col("text")) > F.col("max_tokens")), F.lit(False)))
-    wanted = base.select("nr", "chunk_key", "document_id", "text", "max_tokens", "overlap", F.explode_outer(F.array_distinct("sentence_ids")).alias("sentence_id"))
+    # equal rows share one address, so the text itself travels once and the sentences once
+    base = chunks.where(F.col("text").isNotNull()).select("chunk_key", "document_id", "config_id", "sentence_ids", "text", F.xxhash64("chunk_key", "document_id", "sentence_ids").alias("nr"))
+    wanted = base.select("nr", "document_id", F.explode("sentence_ids").alias("sentence_id")).distinct()
     rows = sentences.where(F.col("text").isNotNull()).groupBy("document_id", "sentence_id").agg(F.min("text").alias("sentence"))
-    held = wanted.join(rows, ["document_id", "sentence_id"], "left").groupBy("nr", "chunk_key").agg(
-        F.first("text").alias("text"), F.first("max_tokens").alias("max_tokens"), F.first("overlap").alias("overlap"),
-        F.array_sort(F.collect_list(F.when(F.col("sentence").isNotNull(), F.struct("sentence_id", "sentence")))).alias("known"))
+    held = wanted.join(rows, ["document_id", "sentence_id"]).groupBy("nr").agg(F.array_sort(F.collect_list(F.struct("sentence_id", "sentence"))).alias("known"))
+    ready = base.join(limits, "config_id", "left").join(held, "nr", "left")
     kind = chunks.schema["chunk_key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], [], [], []]
             for key, text, limit, overlap, known in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                pieces = pieces_of(text, limit, max(0, overlap or 0), [(k["sentence_id"], k["sentence"]) for k in known])
+                pieces = pieces_of(text, limit, max(0, overlap or 0), [(k["sentence_id"], k["sentence"]) for k in known or ()])
                 for number, (start, new, end, inside) in enumerate(pieces, 1):
                     part = text[start:end]
                     for column, value in zip(out, (key, number, len(pieces) > 1, part, len(part.split()), inside, max(0, new - start))):
@@ -236,4 +236,4 @@ def split_chunks(chunks: DataFrame, sentences: DataFrame, configs: DataFrame) ->
             kinds = (batch.schema.field(0).type, pa.int32(), pa.bool_(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["chunk_key", "piece_no", "oversized", "text", "words", "sentence_ids", "new_from"])
 
-    return held.select("chunk_key", "text", "max_tokens", "overlap", "known").mapInArrow(run, _PIECES.format(key=kind))
+    return ready.select("chunk_key", "text", "max_tokens", "overlap", "known").mapInArrow(run, _PIECES.format(key=kind))
