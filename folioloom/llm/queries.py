@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm import encode, leakage, markup, scan_noise, site_lines, split
+from folioloom.llm import encode, leakage, markup, pairs, pii, scan_noise, site_lines, split
 from folioloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, directory: str) -> DataFrame:
+    return pairs.found(table(spark, directory, "query_summaries"))
+
+
+def p1_labels(spark: SparkSession, directory: str) -> DataFrame:
+    return pairs.labels(table(spark, directory, "query_summaries")).select("run_id", "answer_field", "defect", F.round("posterior", 3).alias("posterior"))
+
+
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     return site_lines.repeated_lines(table(spark, directory, "ocr_blocks")).select("block_key", "line_no")
 
@@ -81,8 +89,16 @@ WITH cut AS (
 """
 
 
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    return pii.personal(table(spark, directory, "documents"))
+
+
+def p8_masked(spark: SparkSession, directory: str) -> DataFrame:
+    return pii.masked(table(spark, directory, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_templates, p2_clean, p3_found, p3_pieces, p4_found, p4_clean, p5_found, p5_paragraphs, p6_ids, p6_decoded, p7_found, p7_clean)}
+    return {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_templates, p2_clean, p3_found, p3_pieces, p4_found, p4_clean, p5_found, p5_paragraphs, p6_ids, p6_decoded, p7_found, p7_clean, p8_found, p8_masked)}
 
 
 def oracle_sql() -> dict[str, str]:
