@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from folioloom.plans.queries import REGISTRY, Query
+from folioloom.plans.sql import SQL
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(REGISTRY)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
