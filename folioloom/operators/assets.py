@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioloom.functions import geometry, text
 from folioloom.operators.blocks import reading_key
+from folioloom.operators.ordered import numbered
 
 # fixed values: labels of each kind of asset
 KINDS = {"table": ("table",), "image": ("image", "chart")}
@@ -21,9 +22,9 @@ def is_title(label: Column, extra: Iterable[str] = ()) -> Column:
 
 def assets_of(blocks: DataFrame, kind: str = "table") -> DataFrame:
     """Blocks of one kind with a box, numbered from 1 within their document."""
-    order = Window.partitionBy("document_id").orderBy("page_index", *reading_key())
     chosen = blocks.where(F.col("label").isin(*KINDS[kind]) & F.col("box").isNotNull())
-    return chosen.withColumn("asset_kind", F.lit(kind)).withColumn("asset_index", F.row_number().over(order))
+    kinds = chosen.withColumn("asset_kind", F.lit(kind))
+    return numbered(kinds, ["document_id"], F.col("page_index"), [F.col("page_index"), *reading_key()], "asset_index", width=256).withColumn("asset_index", F.col("asset_index").cast("int"))
 
 
 def nearest_title(assets: DataFrame, blocks: DataFrame, most_distance: float | None = 160.0, least_overlap: float = 0.15) -> DataFrame:

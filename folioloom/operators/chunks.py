@@ -6,10 +6,11 @@ document is compared with itself as a whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioloom.functions import arrays, text
+from folioloom.operators.ordered import numbered, with_next
 
 
 def current(chunks: DataFrame) -> DataFrame:
@@ -88,10 +89,16 @@ def position_reasons(a: Column, b: Column, a_pages: Column, b_pages: Column, mos
 
 def neighbours(chunks: DataFrame, most_gap: int = 3) -> DataFrame:
     """(document_id, first_key, second_key, gap, reasons): each chunk and the next in order."""
-    order = Window.partitionBy("document_id").orderBy(*sort_key())
     pages = F.when(F.size("page_span") > 0, F.array_sort(F.array_distinct("page_span")))
-    nxt = chunks.select("document_id", F.col("chunk_key").alias("first_key"), F.col("ids").alias("a"), pages.alias("ap"), F.lead("chunk_key").over(order).alias("second_key"), F.lead("ids").over(order).alias("b"), F.lead(pages).over(order).alias("bp")).where("second_key IS NOT NULL")
-    return nxt.select("document_id", "first_key", "second_key", arrays.min_gap(F.col("a"), F.col("b")).alias("gap"), position_reasons(F.col("a"), F.col("b"), F.col("ap"), F.col("bp"), most_gap).alias("reasons"))
+    rows = chunks.select("document_id", "chunk_key", "chunk_id", "ids", pages.alias("pages"))
+    nxt = with_next(rows, ["document_id"], F.array_min("ids"), sort_key(), ["chunk_key", "ids", "pages"]).where("next IS NOT NULL")
+    a, b = F.col("ids"), F.col("next.ids")
+    return nxt.select("document_id", F.col("chunk_key").alias("first_key"), F.col("next.chunk_key").alias("second_key"), arrays.min_gap(a, b).alias("gap"), position_reasons(a, b, F.col("pages"), F.col("next.pages"), most_gap).alias("reasons"))
+
+
+def placed(chunks: DataFrame, name: str = "place") -> DataFrame:
+    """Chunks numbered from 1 within their document."""
+    return numbered(chunks, ["document_id"], F.array_min("ids"), sort_key(), name)
 
 
 def validation(chunks: DataFrame, least: float = 0.8) -> DataFrame:
@@ -104,8 +111,11 @@ def validation(chunks: DataFrame, least: float = 0.8) -> DataFrame:
 
 
 def provenance(chunks: DataFrame) -> DataFrame:
-    """(document_id, block_ids, pages, chunks): sorted distinct unions over each document's chunks."""
-    blocks = chunks.select("document_id", F.explode("source_block_ids").alias("v")).distinct().groupBy("document_id").agg(F.array_sort(F.collect_list("v")).alias("block_ids"))
-    pages = chunks.select("document_id", F.explode("page_span").alias("v")).distinct().groupBy("document_id").agg(F.array_sort(F.collect_list("v")).alias("pages"))
-    count = chunks.groupBy("document_id").agg(F.count("*").alias("chunks"))
-    return count.join(blocks, "document_id", "left").join(pages, "document_id", "left").select("document_id", "block_ids", "pages", "chunks")
+    """(chunk_key, chunk_ids, block_ids, pages): what each chunk that stays stands for.
+
+    Sorted distinct unions over the chunk and the chunks it absorbed.
+    """
+    gone = contained(chunks)
+    owner = chunks.join(gone.select("chunk_key", "target_key"), "chunk_key", "left").withColumn("owner", F.coalesce("target_key", F.col("chunk_key")))
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    return owner.groupBy(F.col("owner").alias("chunk_key")).agg(F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"), union("source_block_ids").alias("block_ids"), union(F.coalesce("page_span", F.array().cast("array<int>"))).alias("pages"))

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioloom.operators.ordered import numbered
 from folioloom.providers import DryVision, Vision
 from folioloom.sources.durable import written
 
@@ -82,8 +83,9 @@ def enrich(files: DataFrame, vision: Vision | None = None, prompt: str = "", bat
     for phase, size in rounds:
         if pending.isEmpty():
             break
-        order = Window.partitionBy("document_id").orderBy("filename")
-        groups = pending.withColumn("batch_no", F.floor((F.row_number().over(order) - 1) / size)).groupBy("document_id", "batch_no").agg(F.array_sort(F.collect_list("filename")).alias("expected"))
+        lead = F.expr(r"coalesce(try_cast(regexp_extract(filename, '(\\d+)', 1) AS bigint), 0)")
+        placed = numbered(pending, ["document_id"], lead, [lead, F.col("filename")], "place")
+        groups = placed.withColumn("batch_no", F.floor((F.col("place") - 1) / size)).groupBy("document_id", "batch_no").agg(F.array_sort(F.collect_list("filename")).alias("expected"))
         out = written(groups.mapInArrow(call, "document_id string, batch_no bigint, expected array<string>, output string, error string"), "round")
         parsed = parse(out, "document_id", "batch_no").where("status = 'item'").select("document_id", "filename", "title", "metadata", "content")
         log = out.select("document_id", F.lit(phase).alias("phase"), F.lit(size).alias("batch_size"), "batch_no", "expected", F.col("error").isNull().alias("success"), "error")

@@ -13,11 +13,11 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioloom.functions import text
-from folioloom.operators.chunks import sort_key
+from folioloom.operators.chunks import placed
 from folioloom.providers import Embedder, HashedWords
 
 #: Chunks of one filing that are merged in one task.
@@ -178,8 +178,7 @@ class Merger:
 
 def segments(chunks: DataFrame) -> DataFrame:
     """Chunks with the segment of their filing in which they are merged."""
-    place = F.row_number().over(Window.partitionBy("document_id").orderBy(*sort_key())) - 1
-    return chunks.withColumn("segment", F.floor(place / SEGMENT).cast("int"))
+    return placed(chunks).withColumn("segment", F.floor((F.col("place") - 1) / SEGMENT).cast("int")).drop("place")
 
 
 def merge(chunks: DataFrame, sentences: DataFrame, settings: Settings = Settings(), embedder: Embedder | None = None) -> DataFrame:
@@ -188,8 +187,8 @@ def merge(chunks: DataFrame, sentences: DataFrame, settings: Settings = Settings
     Rows of kind ``chunk`` are the chunks at the end, rows of kind ``event`` the merges in order.
     """
     model = embedder or HashedWords()
-    placed = segments(chunks).select("document_id", "segment", "chunk_id", "ids", "page_span")
-    each = placed.select("*", F.explode("ids").alias("sentence_id"))
+    cut = segments(chunks).select("document_id", "segment", "chunk_id", "ids", "page_span")
+    each = cut.select("*", F.explode("ids").alias("sentence_id"))
     rows = each.join(sentences.select("document_id", "sentence_id", F.col("text").alias("sentence")), ["document_id", "sentence_id"], "left")
     rows = rows.withColumn("short", F.when(F.size("ids") == 1, text.short_answer_reasons(F.coalesce("sentence", F.lit("")))))
     schema = "document_id string, segment int, kind string, key string, ids array<bigint>, sources array<string>, phase string, first string, second string, seq int, score double"

@@ -5,25 +5,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioloom.operators.chunks import placed
 from folioloom.providers import Embedder, HashedWords
 
 
-def text_records(chunks: DataFrame, order: list[Column]) -> DataFrame:
-    """(document_id, id, index_id, content, hash, page_span): one record per chunk with a text.
+def text_records(chunks: DataFrame) -> DataFrame:
+    """(document_id, chunk_key, id, index_id, content, hash, page_span): one record per chunk with a text.
 
     The id counts all chunks of the document, the index id only those kept, so they part where a
     text is empty.  A chunk with a text but no page span is an error of the data; it is kept with
     a null span and counted by ``without_span``.
     """
-    all_ = Window.partitionBy("document_id").orderBy(*order)
-    named = chunks.select("document_id", "chunk_key", "text", "page_span", *[o.alias(f"o{i}") for i, o in enumerate(order)], F.format_string("text_%06d", F.row_number().over(all_)).alias("id"))
-    kept = named.where(F.coalesce(F.trim("text"), F.lit("")) != "")
-    dense = Window.partitionBy("document_id").orderBy(*[f"o{i}" for i in range(len(order))])
-    return kept.select("document_id", "chunk_key", "id", F.row_number().over(dense).cast("bigint").alias("index_id"), F.col("text").alias("content"), F.md5("text").alias("hash"), "page_span")
+    named = placed(chunks, "place").withColumn("id", F.format_string("text_%06d", "place"))
+    kept = placed(named.where(F.coalesce(F.trim("text"), F.lit("")) != ""), "index_id")
+    return kept.select("document_id", "chunk_key", "id", "index_id", F.col("text").alias("content"), F.md5("text").alias("hash"), "page_span")
 
 
 def without_span(records: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioloom.functions import arrays, geometry, text
 from folioloom.operators import assets, blocks, catalog, chunks, enrichment, evidence, merging, records, sentences, vectors
+from folioloom.operators.ordered import numbered
 from folioloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,7 +132,7 @@ def page_boxes(spark, d):
 def box_overlap(spark, d):
     """How far each block overlaps the next one of its page horizontally."""
     b = _blocks(spark, d).where(F.col("box").isNotNull())
-    order = Window.partitionBy("document_id", "page_index").orderBy("block_id", "block_key")
+    order = Window.partitionBy("document_id", "page_index").orderBy("block_id", "block_key")  # a page is small
     nxt = b.withColumn("next", F.lead("box").over(order)).where("next IS NOT NULL")
     return nxt.select("block_key", F.round(geometry.overlap_ratio(F.col("box"), F.col("next")), 9).alias("ratio"))
 
@@ -213,8 +214,8 @@ def page_sentences(spark, d):
     """Sentences of every filing, page by page, numbered through the filing."""
     pages = blocks.markdown(_blocks(spark, d))
     each = sentences.split(pages.withColumn("page", F.struct("document_id", "page_index")), key="page", column="markdown").select("page.document_id", "page.page_index", "sentence_id", "sentence")
-    order = Window.partitionBy("document_id").orderBy("page_index", "sentence_id")
-    return each.select("document_id", "page_index", (F.row_number().over(order) - 1).alias("sentence_id"), "sentence")
+    order = [F.col("page_index"), F.col("sentence_id")]
+    return numbered(each, ["document_id"], F.col("page_index"), order, "n", width=64).select("document_id", "page_index", (F.col("n") - 1).alias("sentence_id"), "sentence")
 
 
 @query
@@ -280,7 +281,7 @@ def adjacent_distance(spark, d):
 @query
 def percentile_breaks(spark, d):
     rounded = _distances(spark, d).withColumn("distance", F.round("distance", 9))
-    return sentences.breakpoints(rounded, "label", "vec_id", 95.0).select("label", "vec_id", F.round("threshold", 7).alias("threshold"), "segment")
+    return sentences.breakpoints(rounded, "label", "vec_id", 95.0).select("label", "block_id", "vec_id", F.round("threshold", 7).alias("threshold"), "segment")
 
 
 # chunks
@@ -299,8 +300,7 @@ def page_span(spark, d):
 
 @query
 def chunk_order(spark, d):
-    order = Window.partitionBy("document_id").orderBy(*chunks.sort_key())
-    return _chunks(spark, d).select("chunk_key", F.row_number().over(order).alias("place"))
+    return chunks.placed(_chunks(spark, d)).select("chunk_key", "place")
 
 
 @query
@@ -361,10 +361,11 @@ def merge_phase_counts(spark, d):
 
 
 def _outputs(spark, d):
-    """A placeholder output for the tables of every filing: the last asset missing, one name twice, one unknown."""
-    files = _manifest(spark, d).groupBy("document_id").agg(F.array_sort(F.collect_list("filename")).alias("expected"))
+    """A placeholder output for every batch of five tables: the last asset missing, one name twice, one unknown."""
+    batch = F.floor((F.col("asset_index") - 1) / 5).alias("batch_no")
+    files = _manifest(spark, d).groupBy("document_id", batch).agg(F.array_sort(F.collect_list("filename")).alias("expected"))
     given = F.concat(F.slice("expected", 1, F.greatest(F.lit(1), F.size("expected") - 1)), F.slice("expected", 1, 1), F.array(F.lit("unknown.png")))
-    return files.select("document_id", "expected", enrichment.dry_run(given).alias("output"))
+    return files.select("document_id", "batch_no", "expected", enrichment.dry_run(given).alias("output"))
 
 
 @query
@@ -374,32 +375,32 @@ def dry_run_enrichment(spark, d):
 
 @query
 def enrichment_parse(spark, d):
-    return enrichment.parse(_outputs(spark, d), "document_id")
+    return enrichment.parse(_outputs(spark, d), "document_id", "batch_no")
 
 
 @query
 def enrichment_missing(spark, d):
     o = _outputs(spark, d)
-    return enrichment.accounting(o, enrichment.parse(o, "document_id"), "document_id")
+    return enrichment.accounting(o, enrichment.parse(o, "document_id", "batch_no"), "document_id", "batch_no")
 
 
 @query
 def enrichment_join(spark, d):
-    items = enrichment.parse(_outputs(spark, d), "document_id").where("status = 'item'")
-    enriched = items.select("document_id", F.lit("table").alias("asset_kind"), (F.col("position") + 1).alias("position"), "filename", "title", "content")
+    items = enrichment.parse(_outputs(spark, d), "document_id", "batch_no").where("status = 'item'")
+    enriched = items.select("document_id", F.lit("table").alias("asset_kind"), (F.col("batch_no") * 5 + F.col("position") + 1).alias("position"), "filename", "title", "content")
     return records.asset_records(enriched, _manifest(spark, d)).drop("crop_bbox")
 
 
 @query
 def preview_join(spark, d):
-    items = enrichment.parse(_outputs(spark, d), "document_id").where("status = 'item'")
+    items = enrichment.parse(_outputs(spark, d), "document_id", "batch_no").where("status = 'item'")
     return enrichment.preview(_manifest(spark, d), items, {"table": 4, "image": 3})
 
 
 @query
 def enrichment_counts(spark, d):
     m = _manifest(spark, d)
-    return enrichment.counts(enrichment.parse(_outputs(spark, d), "document_id").where("status = 'item'"), m)
+    return enrichment.counts(enrichment.parse(_outputs(spark, d), "document_id", "batch_no").where("status = 'item'"), m)
 
 
 @query
@@ -413,18 +414,18 @@ def enrichment_retry(spark, d):
 
 @query
 def text_records(spark, d):
-    return records.text_records(_chunks(spark, d), chunks.sort_key())
+    return records.text_records(_chunks(spark, d))
 
 
 @query
 def records_without_span(spark, d):
-    return records.without_span(records.text_records(_chunks(spark, d), chunks.sort_key()))
+    return records.without_span(records.text_records(_chunks(spark, d)))
 
 
 @query
 def index_embedding(spark, d):
     """Width and length of the vectors of every text record."""
-    r = records.embed(records.text_records(_chunks(spark, d), chunks.sort_key()), F.col("content"))
+    r = records.embed(records.text_records(_chunks(spark, d)), F.col("content"))
     return r.select("chunk_key", F.size("embedding").alias("dimension"), F.round(arrays.dot(F.col("embedding"), F.col("embedding")), 3).alias("length"))
 
 
@@ -536,9 +537,9 @@ def montage_label(spark, d):
 
 
 def _images(spark, d):
-    r = table(spark, d, "query_summaries").where("document_id IS NOT NULL")
-    place = F.row_number().over(Window.partitionBy("document_id").orderBy("run_id"))
-    return r.select(F.col("document_id").alias("query_id"), place.alias("place"), (F.lit(300) + F.col("run_id") % 900).alias("width"), (F.lit(200) + F.col("run_id") % 700).alias("height"))
+    """Up to five images for every fifth run."""
+    r = table(spark, d, "query_summaries")
+    return r.select(F.floor(F.col("run_id") / 5).alias("query_id"), (F.col("run_id") % 5 + 1).alias("place"), (F.lit(300) + F.col("run_id") % 900).alias("width"), (F.lit(200) + F.col("run_id") % 700).alias("height"))
 
 
 @query

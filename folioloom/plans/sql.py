@@ -193,8 +193,7 @@ def _contexts() -> str:
 
 def _montage(width: int, columns: int) -> str:
     return f"""WITH images AS (
-    SELECT document_id AS query_id, row_number() OVER (PARTITION BY document_id ORDER BY run_id) AS place, 300 + run_id % 900 AS width, 200 + run_id % 700 AS height
-    FROM query_summaries WHERE document_id IS NOT NULL
+    SELECT run_id // 5 AS query_id, run_id % 5 + 1 AS place, 300 + run_id % 900 AS width, 200 + run_id % 700 AS height FROM query_summaries
 ), cells AS (
     SELECT query_id, (place - 1) // {columns} AS row, greatest(1, round_even(height * ({width}::DOUBLE / width), 0))::INT + 48 AS cell FROM images
 ), rows AS (SELECT query_id, row, max(cell) AS high, count(*) AS n FROM cells GROUP BY ALL
@@ -217,15 +216,15 @@ def _fit(w: str, h: str, side: str) -> str:
 
 
 _OUTPUTS = f"""WITH {_FIELDS}, {_TITLED}, files AS (
-    SELECT document_id, list(filename ORDER BY filename) AS expected FROM manifest GROUP BY 1
+    SELECT document_id, (asset_index - 1) // 5 AS batch_no, list(filename ORDER BY filename) AS expected FROM manifest GROUP BY 1, 2
 ), given AS (
     SELECT *, list_concat(list_concat(expected[1 : greatest(1, len(expected) - 1)], expected[1:1]), ['unknown.png']) AS names FROM files
 ), outputs AS (
-    SELECT document_id, expected, array_to_string(list_transform(names, lambda f: '[F] ' || f || chr(10) || '[T] DRY RUN' || chr(10) || '[M] Dry run metadata.' || chr(10) || '[C] Dry run content.'), chr(10) || chr(10)) AS output, names FROM given
+    SELECT document_id, batch_no, expected, array_to_string(list_transform(names, lambda f: '[F] ' || f || chr(10) || '[T] DRY RUN' || chr(10) || '[M] Dry run metadata.' || chr(10) || '[C] Dry run content.'), chr(10) || chr(10)) AS output, names FROM given
 ), parsed AS (
-    SELECT document_id, position, filename, 'DRY RUN' AS title, 'Dry run metadata.' AS metadata, 'Dry run content.' AS content,
-           CASE WHEN NOT list_contains(expected, filename) THEN 'unexpected' WHEN row_number() OVER (PARTITION BY document_id, filename ORDER BY position) > 1 THEN 'duplicate' ELSE 'item' END AS status
-    FROM (SELECT document_id, expected, unnest(range(0, len(names)))::INT AS position, unnest(names) AS filename FROM outputs)
+    SELECT document_id, batch_no, position, filename, 'DRY RUN' AS title, 'Dry run metadata.' AS metadata, 'Dry run content.' AS content,
+           CASE WHEN NOT list_contains(expected, filename) THEN 'unexpected' WHEN row_number() OVER (PARTITION BY document_id, batch_no, filename ORDER BY position) > 1 THEN 'duplicate' ELSE 'item' END AS status
+    FROM (SELECT document_id, batch_no, expected, unnest(range(0, len(names)))::INT AS position, unnest(names) AS filename FROM outputs)
 )"""
 _DISTANCES = """WITH pair AS (
     SELECT label, vec_id, embedding::DOUBLE[] AS a, (lead(embedding) OVER (PARTITION BY label ORDER BY vec_id))::DOUBLE[] AS b FROM embeddings
@@ -287,9 +286,13 @@ SQL: dict[str, str] = {
     "config_windows": """WITH c AS (SELECT config_id, window_size AS w, coalesce(step_size, window_size - overlap) AS s FROM chunking_configs)
         SELECT config_id, k::INT AS block_id, range(0, 13)[1 + k * s : k * s + w] AS ids FROM (SELECT *, unnest(range(0, greatest(0, ceil((13 - w) / s::DOUBLE))::BIGINT + 1)) AS k FROM c)""",
     "adjacent_distance": f"{_DISTANCES} SELECT * FROM distances",
-    "percentile_breaks": f"""{_DISTANCES}, limits AS (SELECT label, quantile_cont(distance, 0.95::DOUBLE) AS threshold FROM distances GROUP BY 1)
-        SELECT label, vec_id, round(threshold, 7) AS threshold, coalesce(sum((distance > threshold)::INT) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS segment
-        FROM distances JOIN limits USING (label)""",
+    "percentile_breaks": f"""{_DISTANCES}, placed AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS nr FROM distances
+        ), sizes AS (SELECT label, greatest(0, ceil((max(nr) + 2 - 6) / 4.0))::BIGINT AS last FROM placed GROUP BY 1
+        ), blocks AS (SELECT label, unnest(range(0, last + 1)) AS block_id FROM sizes
+        ), held AS (SELECT p.*, block_id::INT AS block_id FROM placed p JOIN blocks b ON p.label = b.label AND p.nr BETWEEN block_id * 4 AND block_id * 4 + 4
+        ), limits AS (SELECT label, block_id, quantile_cont(distance, 0.95::DOUBLE) AS threshold FROM held GROUP BY 1, 2)
+        SELECT label, block_id, vec_id, round(threshold, 7) AS threshold, coalesce(sum((distance > threshold)::INT) OVER (PARTITION BY label, block_id ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS segment
+        FROM held JOIN limits USING (label, block_id)""",
     "chunk_text": f"""WITH {_CURRENT}, {_CHUNKS}, ids AS (SELECT chunk_key, document_id, unnest(ids) AS sentence_id FROM held), built AS (
         SELECT chunk_key, string_agg(text, ' ' ORDER BY sentence_id) AS text, coalesce(list_sort(list(DISTINCT page) FILTER (page IS NOT NULL)), []) AS pages FROM ids JOIN sentence USING (document_id, sentence_id) GROUP BY 1)
         SELECT chunk_key, text, pages, ({_words('text')})::INT AS words FROM built""",
@@ -311,13 +314,16 @@ SQL: dict[str, str] = {
     "validate_chunks": f"""WITH {_PIECES}, docs AS (SELECT DISTINCT document_id FROM pieces), c AS (SELECT document_id, count(*) AS n FROM contained GROUP BY 1),
         p AS (SELECT document_id, count(*) AS n FROM shared WHERE a < b AND shared / least(na, nb)::DOUBLE >= 0.8::DOUBLE GROUP BY 1)
         SELECT document_id, coalesce(c.n, 0) AS contained, coalesce(p.n, 0) AS duplicates, coalesce(c.n, 0) = 0 AND coalesce(p.n, 0) = 0 AS passed FROM docs LEFT JOIN c USING (document_id) LEFT JOIN p USING (document_id)""",
-    "provenance_union": f"""WITH {_CHUNKS}, b AS (SELECT document_id, list_sort(list_distinct(flatten(list(source_block_ids)))) AS v FROM held GROUP BY 1), p AS (SELECT document_id, list_sort(list_distinct(flatten(list(page_span) FILTER (page_span IS NOT NULL)))) AS v FROM held GROUP BY 1)
-        SELECT document_id, any_value(b.v) AS block_ids, any_value(p.v) AS pages, count(*) AS chunks FROM held LEFT JOIN b USING (document_id) LEFT JOIN p USING (document_id) GROUP BY 1""",
-    "dry_run_enrichment": f"{_OUTPUTS} SELECT document_id, expected, output FROM outputs",
+    "provenance_union": f"""WITH {_CHUNKS}, flat AS (SELECT document_id, chunk_key, len(ids) AS n, unnest(ids) AS sid FROM held
+        ), shared AS (SELECT a.document_id, a.chunk_key AS a, b.chunk_key AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM flat a JOIN flat b ON a.document_id = b.document_id AND a.sid = b.sid AND a.chunk_key <> b.chunk_key GROUP BY ALL
+        ), contained AS (SELECT a AS chunk_key, b AS target_key FROM shared WHERE shared = na AND (nb > na OR (nb = na AND b < a)) QUALIFY row_number() OVER (PARTITION BY a ORDER BY nb DESC, b) = 1)
+        SELECT coalesce(target_key, h.chunk_key) AS chunk_key, list_sort(list(DISTINCT chunk_id)) AS chunk_ids, list_sort(list_distinct(flatten(list(source_block_ids)))) AS block_ids, list_sort(list_distinct(flatten(list(coalesce(page_span, []))))) AS pages
+        FROM held h LEFT JOIN contained c ON c.chunk_key = h.chunk_key GROUP BY 1""",
+    "dry_run_enrichment": f"{_OUTPUTS} SELECT document_id, batch_no, expected, output FROM outputs",
     "enrichment_parse": f"{_OUTPUTS} SELECT * FROM parsed",
-    "enrichment_missing": f"""{_OUTPUTS}, items AS (SELECT document_id, list(filename) FILTER (status = 'item') AS items, list_sort(list(DISTINCT filename) FILTER (status = 'unexpected')) AS unexpected, list_sort(list(DISTINCT filename) FILTER (status = 'duplicate')) AS duplicates FROM parsed GROUP BY 1)
-        SELECT document_id, list_filter(expected, lambda x: NOT list_contains(items, x)) AS missing, unexpected, duplicates FROM outputs JOIN items USING (document_id)""",
-    "enrichment_join": f"{_OUTPUTS} SELECT p.document_id, 'table' AS asset_kind, printf('table_%06d', p.position + 1) AS id, p.filename, p.title, p.content, md5(p.content) AS hash, m.page, m.bbox FROM parsed p JOIN manifest m ON p.document_id = m.document_id AND p.filename = m.filename WHERE status = 'item'",
+    "enrichment_missing": f"""{_OUTPUTS}, items AS (SELECT document_id, batch_no, list(filename) FILTER (status = 'item') AS items, list_sort(list(DISTINCT filename) FILTER (status = 'unexpected')) AS unexpected, list_sort(list(DISTINCT filename) FILTER (status = 'duplicate')) AS duplicates FROM parsed GROUP BY 1, 2)
+        SELECT document_id, batch_no, list_filter(expected, lambda x: NOT list_contains(items, x)) AS missing, unexpected, duplicates FROM outputs JOIN items USING (document_id, batch_no)""",
+    "enrichment_join": f"{_OUTPUTS} SELECT p.document_id, 'table' AS asset_kind, printf('table_%06d', p.batch_no * 5 + p.position + 1) AS id, p.filename, p.title, p.content, md5(p.content) AS hash, m.page, m.bbox FROM parsed p JOIN manifest m ON p.document_id = m.document_id AND p.filename = m.filename WHERE status = 'item'",
     "preview_join": f"""{_OUTPUTS} SELECT m.document_id, 'table' AS modality, printf('table_%06d', m.asset_index) AS id, m.filename, coalesce(p.title, m.name) AS title, p.metadata AS summary, coalesce(p.content, p.title, m.name) AS content, m.page, m.bbox
         FROM manifest m LEFT JOIN (SELECT * FROM parsed WHERE status = 'item') p ON p.document_id = m.document_id AND p.filename = m.filename WHERE asset_index <= 4""",
     "enrichment_counts": f"""{_OUTPUTS}, done AS (SELECT DISTINCT document_id, filename FROM parsed WHERE status = 'item'), files_ AS (SELECT DISTINCT document_id, filename FROM manifest)
