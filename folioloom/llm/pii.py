@@ -150,7 +150,8 @@ def spans_of(text: str) -> list[tuple]:
                 continue
             titled = bool(_TITLE_BEFORE.search(left))
             # words on two lines are a name only where both are known from elsewhere
-            kind = "wrapped" if "\n" in text[start:end] else "name"
+            # a word before an initial is a given name only where it is known as one
+            kind = "wrapped" if "\n" in text[start:end] else "middle" if m.group("m") and start == m.start("g") and end == m.end("s") else "name"
             out.append((kind, start, end, text[start:end], given.lower() if given else None, surname.lower(), pattern, "name" if titled and given else None))
     return out
 
@@ -214,12 +215,12 @@ def accepted(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
     surname = _small(written(good.where("type = 'name' AND instance LIKE 'surname:%'").select(F.substring("instance", 9, 1 << 30).alias("two"), F.lit(True).alias("surname_ok")), "surname"))
     told = _small(written(patterns.where((F.col("type") == "name") & (F.col("pattern_score") >= CUTOFF)).select("pattern", F.lit(True).alias("pattern_ok")), "told"))
     shapes = _small(written(good.where("instance LIKE 'shape:%'").groupBy(F.substring("instance", 7, 1 << 30).alias("one")).agg(F.max_by("type", "score").alias("type")), "shapes"))
-    names = spans.where("kind IN ('name', 'wrapped')").join(given, "one", "left").join(surname, "two", "left").join(told, "pattern", "left")
+    names = spans.where("kind IN ('name', 'middle', 'wrapped')").join(given, "one", "left").join(surname, "two", "left").join(told, "pattern", "left")
     is_given = F.coalesce("given_ok", F.lit(False))
     trusted = F.coalesce("pattern_ok", F.lit(False))
     known = F.coalesce("surname_ok", F.lit(False))
     single = F.col("kind") == "name"
-    names = names.where((is_given & (single | known)) | (single & F.col("one").isNull() & (trusted | known)) | (single & trusted & known)).select(key, "row", "start", "end", F.lit("name").alias("type"), "value", (F.when(is_given, 0).otherwise(1)).alias("rank"))
+    names = names.where((is_given & (single | known | (F.col("kind") == "middle"))) | (single & F.col("one").isNull() & (trusted | known)) | (single & trusted & known)).select(key, "row", "start", "end", F.lit("name").alias("type"), "value", (F.when(is_given, 0).otherwise(1)).alias("rank"))
     numbers = spans.where("kind = 'number'").join(shapes, "one").select(key, "row", "start", "end", "type", "value", F.lit(0).alias("rank"))
     forms = spans.where("kind IN ('email', 'address')").select(key, "row", "start", "end", F.col("kind").alias("type"), "value", F.lit(0).alias("rank"))
     both = names.unionByName(numbers).unionByName(forms).groupBy(key, "row").agg(F.collect_set(F.struct("start", "end", "rank", "type", "value")).alias("found"))
