@@ -15,7 +15,10 @@ from folioloom.plans import pipelines
 from folioloom.sources import json_io
 
 # fixed values: short names of commands
-ALIASES = {"text": "generate-text", "chunk": "chunk-text", "extract": "extract-assets", "enrich": "enrich-assets", "index": "build-index", "search": "search-index", "evidence": "build-evidence", "answer": "generate-answer", "query": "run-query"}
+ALIASES = {
+    "text-md": "generate-text-md", "chunk": "chunk-text", "assets": "extract-assets", "enrich": "enrich-assets", "index": "build-indexes",
+    "search": "search-indexes", "evidence": "build-evidence-package", "answer": "generate-answer", "query": "run-query-pipeline",
+}
 
 
 def _spark() -> SparkSession:
@@ -76,9 +79,10 @@ def run_query(a: argparse.Namespace) -> None:
     json_io.write_lines(_answers(a), a.output, a.overwrite) if a.output else _answers(a).show(truncate=False)
 
 
+# fixed values: names of commands
 COMMANDS: dict[str, Callable[[argparse.Namespace], None]] = {
-    "generate-text": generate_text, "chunk-text": chunk_text, "extract-assets": extract_assets, "enrich-assets": enrich_assets, "build-index": build_index,
-    "search-index": search_index, "build-evidence": build_evidence, "generate-answer": run_query, "run-query": run_query,
+    "generate-text-md": generate_text, "chunk-text": chunk_text, "extract-assets": extract_assets, "enrich-assets": enrich_assets, "build-indexes": build_index,
+    "search-indexes": search_index, "build-evidence-package": build_evidence, "generate-answer": run_query, "run-query-pipeline": run_query,
 }
 
 

@@ -43,7 +43,7 @@ class Settings:
             raise ValueError("most_words must be positive, most_gap not negative")
 
 
-@dataclass
+@dataclass(eq=False)
 class _Piece:
     key: str
     ids: tuple[int, ...]
@@ -147,11 +147,10 @@ class Merger:
         s = self.settings
         if len(self.pieces) < 2 or budget < 1:
             return
-        vectors = {p.key: np.array(v) for p, v in zip(self.pieces, self.embedder.encode([self.text(p.ids) for p in self.pieces]))}
+        vectors = np.array(self.embedder.encode([self.text(p.ids) for p in self.pieces]))
+        scores = vectors @ vectors.T
         for _ in range(budget):
             order = self.pieces
-            matrix = np.stack([vectors[p.key] for p in order])
-            scores = matrix @ matrix.T
             best = None
             for i in range(len(order)):
                 # only pairs better than the best so far can matter
@@ -159,11 +158,17 @@ class Merger:
                 for j in np.flatnonzero(scores[i, i + 1 :] > bar) + i + 1:
                     score = float(scores[i, j])
                     if (best is None or score > best[0]) and self.near(order[i], order[j]) and self.size(tuple(sorted({*order[i].ids, *order[j].ids}))) <= s.most_words:
-                        best = (score, order[i], order[j])
+                        best = (score, i, int(j))
             if best is None:
                 return
-            both = self.join(best[1], best[2], "embedding_greedy_merge", best[0])
-            vectors[both.key] = np.array(self.embedder.encode([self.text(both.ids)])[0])
+            score, i, j = best
+            both = self.join(order[i], order[j], "embedding_greedy_merge", score)
+            # one row and column of the matrix change, the rest stays
+            at = self.pieces.index(both)
+            vectors = np.insert(np.delete(vectors, (i, j), axis=0), at, self.embedder.encode([self.text(both.ids)])[0], axis=0)
+            row = vectors @ vectors[at]
+            scores = np.delete(np.delete(scores, (i, j), axis=0), (i, j), axis=1)
+            scores = np.insert(np.insert(scores, at, np.delete(row, at), axis=0), at, row, axis=1)
 
     def run(self) -> None:
         if len(self.pieces) < 2:

@@ -18,8 +18,10 @@ CANDIDATES = {"text": 15, "table": 5, "image": 5}
 THRESHOLDS = {"text": 0.70, "table": 0.65, "image": 0.55}
 CAPS = {"table": 4, "image": 3}
 LEAST_TEXT = 6
-#: Queries in one block; with 1,024 doubles each a block is about 32 MB.
-QUERIES_PER_BLOCK = 4096
+#: Queries in one block; with 1,024 doubles each a block is about 16 MB.
+QUERIES_PER_BLOCK = 2048
+#: Records scored at once; the score matrix stays at 32 MB.
+ROWS_PER_STEP = 2048
 
 
 def topk(records: DataFrame, queries: DataFrame, candidates: dict[str, int] = CANDIDATES) -> DataFrame:
@@ -50,32 +52,38 @@ def _scan(records: DataFrame, shipped, candidates: dict[str, int]) -> DataFrame:
         if not ids:
             return
         matrix = np.array(vectors, dtype=np.float64)
-        best: dict[str, tuple] = {}
+        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        best: dict[str, tuple] = dict.fromkeys(candidates, empty)
         for batch in batches:
             kinds = np.array(batch.column(1).to_pylist(), dtype=object)
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             rows = batch.column(2).to_pylist()
             sound = np.array([bool(r) for r in rows], dtype=bool)
             for kind, most in candidates.items():
-                at = np.flatnonzero((kinds == kind) & sound)
-                if not len(at):
-                    continue
-                block = np.array([rows[i] for i in at], dtype=np.float64)
-                if block.shape[1] != matrix.shape[1]:
-                    raise ValueError(f"vectors of width {block.shape[1]} searched by queries of width {matrix.shape[1]}")
-                # column by column, so that sums are added from the left like anywhere else
-                scores = np.zeros((len(ids), len(at)))
-                for d in range(matrix.shape[1]):
-                    scores += np.outer(matrix[:, d], block[:, d])
-                names = np.broadcast_to(keys[at], scores.shape)
-                if kind in best:
-                    names = np.concatenate([best[kind][0], names], axis=1)
-                    scores = np.concatenate([best[kind][1], scores], axis=1)
-                order = np.lexsort((names, -scores), axis=1)[:, :most]
-                best[kind] = np.take_along_axis(names, order, axis=1), np.take_along_axis(scores, order, axis=1)
-        for kind, (names, scores) in best.items():
-            width = names.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array([q for q in ids for _ in range(width)], pa.int64()), pa.array([kind] * names.size, pa.string()), pa.array(names.ravel(), pa.int64()), pa.array(scores.ravel(), pa.float64())], names=["query_id", "modality", "vec_id", "score"])
+                all_ = np.flatnonzero((kinds == kind) & sound)
+                for at in (all_[k : k + ROWS_PER_STEP] for k in range(0, len(all_), ROWS_PER_STEP)):
+                    block = np.array([rows[i] for i in at], dtype=np.float64)
+                    if block.shape[1] != matrix.shape[1]:
+                        raise ValueError(f"vectors of width {block.shape[1]} searched by queries of width {matrix.shape[1]}")
+                    # a fast product finds what can be among the best, with room for its rounding
+                    rough = matrix @ block.T
+                    if rough.shape[1] > most:
+                        bar = np.partition(rough, rough.shape[1] - most, axis=1)[:, rough.shape[1] - most]
+                        q, r = np.nonzero(rough >= bar[:, None] - 1e-9 * (1 + np.abs(bar[:, None])))
+                    else:
+                        q, r = (x.ravel() for x in np.indices(rough.shape))
+                    # those few are added up from the left, so that equal vectors have equal scores
+                    exact = np.zeros(len(q))
+                    for d in range(matrix.shape[1]):
+                        exact += matrix[q, d] * block[r, d]
+                    q, names, exact = (np.concatenate(x) for x in zip(best[kind], (q, keys[at][r], exact)))
+                    order = np.lexsort((names, -exact, q))
+                    q, names, exact = q[order], names[order], exact[order]
+                    place = np.arange(len(q)) - np.searchsorted(q, q)
+                    best[kind] = q[place < most], names[place < most], exact[place < most]
+        queries = np.array(ids, dtype=np.int64)
+        for kind, (q, names, exact) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(queries[q]), pa.array([kind] * len(q), pa.string()), pa.array(names.astype(np.int64)), pa.array(exact)], names=["query_id", "modality", "vec_id", "score"])
 
     return records.select(F.col("vec_id").cast("bigint"), "modality", "embedding").mapInArrow(run, "query_id bigint, modality string, vec_id bigint, score double")
 
