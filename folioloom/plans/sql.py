@@ -171,7 +171,7 @@ modes AS (
 )"""
 
 
-def _contexts() -> str:
+def _contexts(most: int = 80) -> str:
     return f"""{_retrieved(0.2)}, contexts AS (
     SELECT g.query_id, modality, vec_id, rank, round(g.score, 3) AS score, printf('rec_%06d', vec_id) AS id, query AS title, generated_answer AS content,
            coalesce(nullif(expected_answer, ''), generated_answer) AS summary, CASE WHEN modality <> 'text' THEN vec_id % 7 END AS page,
@@ -185,8 +185,8 @@ def _contexts() -> str:
              WHEN len(bbox) > 0 THEN 'Location: bbox' END,
         'Score: ' || score::VARCHAR,
         'Title: ' || nullif({_compact('title', 240)}, ''),
-        CASE WHEN {_compact('summary', 80)} <> '' AND {_compact('summary', 80)} <> {_compact('content', 80)} THEN 'Summary: ' || {_compact('summary', 80)} END,
-        'Content: ' || nullif({_compact('content', 80)}, '')), ''), 'Content: None.') AS lines
+        CASE WHEN {_compact('summary', most)} <> '' AND {_compact('summary', most)} <> {_compact('content', most)} THEN 'Summary: ' || {_compact('summary', most)} END,
+        'Content: ' || nullif({_compact('content', most)}, '')), ''), 'Content: None.') AS lines
     FROM contexts
 )"""
 
@@ -343,6 +343,14 @@ SQL: dict[str, str] = {
     "context_normalize": f"WITH {_contexts()} SELECT query_id, modality, vec_id, summary FROM contexts",
     "evidence_ids": f"WITH {_contexts()} SELECT query_id, modality, vec_id, evidence_id FROM contexts",
     "evidence_format": f"WITH {_contexts()} SELECT query_id, evidence_id, lines FROM rendered",
+    "answer_dry_run": f"""WITH {_contexts(1200)}, parts AS (
+        SELECT query_id, string_agg(lines, chr(10) || chr(10) ORDER BY place) FILTER (modality = 'text') AS e, string_agg(lines, chr(10) || chr(10) ORDER BY place) FILTER (modality = 'table') AS t,
+               string_agg(lines, chr(10) || chr(10) ORDER BY place) FILTER (modality = 'image') AS i FROM rendered GROUP BY 1
+    ), prompts AS (
+        SELECT q.query_id, 'Question: ' || coalesce(s.query, '') || chr(10) || chr(10) || 'Text evidence:' || chr(10) || coalesce(e, 'None.') || chr(10) || chr(10)
+               || 'Table evidence:' || chr(10) || coalesce(t, 'None.') || chr(10) || chr(10) || 'Image evidence:' || chr(10) || coalesce(i, 'None.') AS prompt
+        FROM asked q LEFT JOIN query_summaries s ON s.run_id = q.query_id LEFT JOIN parts p ON p.query_id = q.query_id
+    ) SELECT query_id, length(prompt)::INT AS prompt_chars, 'Dry run answer ' || left(md5(prompt), 8) AS answer FROM prompts""",
     "evidence_trace": f"""WITH {_contexts()} SELECT q.query_id, count(*) FILTER (modality = 'text')::INT AS texts, count(*) FILTER (modality = 'table')::INT AS tables, count(*) FILTER (modality = 'image')::INT AS images,
         tables > 0 AS table_montage, images > 0 AS image_montage FROM asked q LEFT JOIN contexts c ON c.query_id = q.query_id GROUP BY 1""",
     "montage_label": f"WITH {_contexts()} SELECT query_id, evidence_id, concat_ws(' | ', evidence_id, CASE WHEN page <> 0 THEN 'page ' || page END, nullif(left(trim(coalesce(nullif(title, ''), id)), 90), '')) AS label FROM contexts",
