@@ -97,6 +97,9 @@ def p8_masked(spark: SparkSession, directory: str) -> DataFrame:
     return pii.masked(table(spark, directory, "documents"))
 
 
+_WORDS = "regexp_extract_all(lower(regexp_replace({}, '<!--.*?-->|</?[A-Za-z][^<>]*>|&[a-z]+;|&#[0-9]+;', ' ', 'gs')), '[\\p{{L}}\\p{{N}}]+')"
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p1_labels, p2_found, p2_templates, p2_clean, p3_found, p3_pieces, p4_found, p4_clean, p5_found, p5_paragraphs, p6_ids, p6_decoded, p7_found, p7_clean, p8_found, p8_masked)}
 
@@ -113,6 +116,12 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": """
             SELECT chunk_key FROM chunks JOIN chunking_configs USING (config_id)
             WHERE len(regexp_extract_all(text, '[^\\s\\x1c-\\x1f\\x0b\\x{85}\\p{Z}]+')) > max_tokens""",
+        "p7_found": f"""WITH d AS (SELECT doc_id AS k, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL),
+            i AS (SELECT item_id AS k, {_WORDS.format('item_text')} AS w FROM eval_items),
+            dg AS (SELECT DISTINCT k, array_to_string(w[p : p + 7], ' ') AS gram FROM (SELECT k, w, unnest(range(1, len(w) - 6)) AS p FROM d)),
+            ig AS (SELECT k, len(w) AS n, p, array_to_string(w[p : p + 7], ' ') AS gram FROM (SELECT k, w, unnest(range(1, len(w) - 6)) AS p FROM i)),
+            hit AS (SELECT DISTINCT dg.k AS doc_id, ig.k AS item_id, n, unnest(range(p, p + 8)) AS nr FROM dg JOIN ig USING (gram))
+            SELECT doc_id, item_id FROM hit GROUP BY doc_id, item_id, n HAVING count(DISTINCT nr) >= 0.4::DOUBLE * n""",
         # a text survives encoding and decoding unchanged
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }
