@@ -281,7 +281,7 @@ def adjacent_distance(spark, d):
 @query
 def percentile_breaks(spark, d):
     rounded = _distances(spark, d).withColumn("distance", F.round("distance", 9))
-    return sentences.breakpoints(rounded, "label", "vec_id", 95.0).select("label", "block_id", "vec_id", F.round("threshold", 7).alias("threshold"), "segment")
+    return sentences.breakpoints(rounded, "label", "vec_id", 95.0).select("label", "block_id", "vec_id", F.round("threshold", 11).alias("threshold"), "segment")
 
 
 # chunks

@@ -291,7 +291,7 @@ SQL: dict[str, str] = {
         ), blocks AS (SELECT label, unnest(range(0, last + 1)) AS block_id FROM sizes
         ), held AS (SELECT p.*, block_id::INT AS block_id FROM placed p JOIN blocks b ON p.label = b.label AND p.nr BETWEEN block_id * 4 AND block_id * 4 + 4
         ), limits AS (SELECT label, block_id, quantile_cont(distance, 0.95::DOUBLE) AS threshold FROM held GROUP BY 1, 2)
-        SELECT label, block_id, vec_id, round(threshold, 7) AS threshold, coalesce(sum((distance > threshold)::INT) OVER (PARTITION BY label, block_id ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS segment
+        SELECT label, block_id, vec_id, round(threshold, 11) AS threshold, coalesce(sum((distance > threshold)::INT) OVER (PARTITION BY label, block_id ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS segment
         FROM held JOIN limits USING (label, block_id)""",
     "chunk_text": f"""WITH {_CURRENT}, {_CHUNKS}, ids AS (SELECT chunk_key, document_id, unnest(ids) AS sentence_id FROM held), built AS (
         SELECT chunk_key, string_agg(text, ' ' ORDER BY sentence_id) AS text, coalesce(list_sort(list(DISTINCT page) FILTER (page IS NOT NULL)), []) AS pages FROM ids JOIN sentence USING (document_id, sentence_id) GROUP BY 1)
