@@ -13,6 +13,7 @@ from folioloom.operators.ordered import numbered
 
 # fixed values: labels of each kind of asset
 KINDS = {"table": ("table",), "image": ("image", "chart")}
+# fixed value: stands for a missing title in file names
 DEFAULT_TITLE = "defaulttitle"
 
 

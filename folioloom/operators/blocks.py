@@ -16,9 +16,10 @@ LAST = 1_000_000
 
 
 def fields(blocks: DataFrame) -> DataFrame:
-    """Every block with its normalised label, content and box."""
+    """Every block with its normalised label, content and box; a filing-wide block id is optional."""
+    wide = F.col("global_block_id") if "global_block_id" in blocks.columns else F.lit(None)
     return blocks.select(
-        "block_key", "document_id", "page_index", "block_id", "block_order",
+        "block_key", "document_id", "page_index", "block_id", "block_order", wide.cast("bigint").alias("global_block_id"),
         text.label(F.col("block_label")).alias("label"),
         F.coalesce(text.trimmed_lines(text.unescape(F.col("block_content"))), F.lit("")).alias("content"),
         geometry.box(F.col("block_bbox")).alias("box"),
@@ -45,9 +46,13 @@ def label_counts(blocks: DataFrame) -> DataFrame:
 
 
 def reading_key() -> list[Column]:
-    """Columns that put the blocks of a page into reading order."""
-    far = F.lit(LAST).cast("double")
-    return [F.coalesce(F.col("block_order").cast("double"), far), F.coalesce(F.col("box.y1"), far), F.coalesce(F.col("box.x1"), far), F.coalesce(F.col("block_id").cast("double"), far), F.col("block_key").cast("double")]
+    """Columns that put the blocks of a page into reading order: order, filing-wide id, top, left, id.
+
+    A missing number comes last, a missing box counts as the page's corner; ties keep the input's order.
+    """
+    far, corner = F.lit(LAST).cast("double"), F.lit(0.0)
+    numbers = [F.coalesce(F.col(c).cast("double"), far) for c in ("block_order", "global_block_id", "block_id")]
+    return [numbers[0], numbers[1], F.coalesce(F.col("box.y1"), corner), F.coalesce(F.col("box.x1"), corner), numbers[2], F.col("block_key").cast("bigint")]
 
 
 def reading_order(blocks: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from folioloom.operators.ordered import numbered
 from folioloom.providers import DryVision, Vision
 from folioloom.sources.durable import written
 
+# fixed value: the form of a record in model output
 _FIELD = r"(?ms)^\s*\[F\]\s*(.*?)\s*^\s*\[T\]\s*(.*?)\s*^\s*\[M\]\s*(.*?)\s*^\s*\[C\]\s*(.*?)(?=^\s*\[F\]|\z)"
 
 
@@ -21,7 +22,7 @@ def field(value: Column) -> Column:
 
 
 def dry_run(filenames: Column) -> Column:
-    """The placeholder output for an array of file names."""
+    """The placeholder output for an array of file names; its words are fixed values."""
     return F.array_join(F.transform(filenames, lambda f: F.concat(F.lit("[F] "), f, F.lit("\n[T] DRY RUN\n[M] Dry run metadata.\n[C] Dry run content."))), "\n\n")
 
 

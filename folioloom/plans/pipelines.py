@@ -25,7 +25,7 @@ def load_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(pages, blocks) of page files under ``path``, in the form of the block operators."""
     pages = ocr_json.with_document(ocr_json.read_pages(spark, path)).withColumn("landed_at", F.current_timestamp())
     raw = ocr_json.with_document(ocr_json.read_blocks(spark, path))
-    keyed = raw.withColumn("block_key", F.xxhash64("file", "position"))
+    keyed = raw.withColumn("block_key", F.shiftleft(F.xxhash64("file"), 20) + F.col("position"))
     return pages, blocks.fields(keyed)
 
 

@@ -68,7 +68,7 @@ fields AS (
     FROM ocr_blocks
 )"""
 _KEPT = "content <> '' AND label NOT IN ('table', 'chart', 'image', 'seal', 'formula') AND NOT contains(label, 'image')"
-_READING = "coalesce(block_order::DOUBLE, 1000000), coalesce(y1, 1000000), coalesce(x1, 1000000), coalesce(block_id, 1000000), block_key"
+_READING = "coalesce(block_order::DOUBLE, 1000000), coalesce(y1, 0), coalesce(x1, 0), coalesce(block_id, 1000000), block_key"
 _PART = f"CASE label WHEN 'doc_title' THEN '# ' || {_collapse('content')} WHEN 'paragraph_title' THEN '## ' || {_collapse('content')} ELSE content END"
 _MARKDOWN = f"""
 markdown AS (

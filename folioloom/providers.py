@@ -65,7 +65,7 @@ class HashedWords:
 
 
 class DryVision:
-    """Returns placeholder descriptions for every file it is asked about."""
+    """Returns placeholder descriptions for every file it is asked about; their words are fixed values."""
 
     name = "dry-run"
 

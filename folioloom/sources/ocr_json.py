@@ -43,7 +43,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """(file, page_index, position, block_label, block_content, block_bbox, block_order, block_id, has_title).
+    """(file, page_index, position, block_label, block_content, block_bbox, block_order, global_block_id, block_id, has_title).
 
     Blocks come from ``parsing_res_list``, or from the top level where that is a list; items that are
     no objects are left out.  ``has_title`` tells whether some key of the block ends in ``_title`` and
@@ -56,7 +56,8 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     keys = F.map_filter(F.try_variant_get("b", "$", "map<string,string>"), lambda k, v: F.lower(k).endswith("_title") & v.isNotNull() & ~v.isin("", "false", "0", "[]", "{}"))
     return each.select(
         "file", "page_index", "position", _text("b", "block_label", "label").alias("block_label"), _text("b", "block_content", "content").alias("block_content"),
-        _box("b").alias("block_bbox"), get("block_order", "bigint").alias("block_order"), get("block_id", "bigint").alias("block_id"), (F.coalesce(F.size(keys), F.lit(0)) > 0).alias("has_title"),
+        _box("b").alias("block_bbox"), F.when(F.try_variant_get("b", "$.block_order", "variant").isNotNull(), get("block_order", "bigint")).otherwise(get("order", "bigint")).alias("block_order"),
+        get("global_block_id", "bigint").alias("global_block_id"), get("block_id", "bigint").alias("block_id"), (F.coalesce(F.size(keys), F.lit(0)) > 0).alias("has_title"),
     )
 
 
@@ -68,7 +69,7 @@ def read_layout(spark: SparkSession, path: str) -> DataFrame:
     d = _documents(spark, path).where(F.col("v").isNotNull())
     pages = d.select("file", F.posexplode(F.try_variant_get("v", "$.layout_det_res", "array<variant>")).alias("page_index", "p"))
     each = pages.select("file", F.col("page_index").cast("bigint").alias("page_index"), F.posexplode(F.try_variant_get("p", "$.boxes", "array<variant>")).alias("position", "b"))
-    return each.select("file", "page_index", "position", F.coalesce(F.try_variant_get("b", "$.label", "string"), F.lit("")).alias("block_label"), F.lit("").alias("block_content"), F.try_variant_get("b", "$.coordinate", "array<double>").alias("block_bbox"), F.try_variant_get("b", "$.order", "bigint").alias("block_order"), F.col("position").cast("bigint").alias("block_id"), F.lit(False).alias("has_title"))
+    return each.select("file", "page_index", "position", F.coalesce(F.try_variant_get("b", "$.label", "string"), F.lit("")).alias("block_label"), F.lit("").alias("block_content"), F.try_variant_get("b", "$.coordinate", "array<double>").alias("block_bbox"), F.try_variant_get("b", "$.order", "bigint").alias("block_order"), F.lit(None).cast("bigint").alias("global_block_id"), F.col("position").cast("bigint").alias("block_id"), F.lit(False).alias("has_title"))
 
 
 def with_document(frame: DataFrame) -> DataFrame:
