@@ -31,15 +31,19 @@ def with_ids(contexts: DataFrame, *order: str) -> DataFrame:
     return contexts.withColumn("place", place).withColumn("evidence_id", F.concat(prefix, place.cast("string")))
 
 
-def location(page: Column, bbox: Column) -> Column:
-    """Where a context stands: its page and box, or the empty text."""
-    numbers = F.concat(F.lit("["), F.array_join(F.transform(bbox, lambda v: v.cast("string")), ", "), F.lit("]"))
-    return F.concat_ws(", ", F.when(page != 0, F.concat(F.lit("page "), page.cast("string"))), F.when(F.size(bbox) > 0, F.concat(F.lit("bbox "), numbers)))
+def _list(values: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(values, lambda v: v.cast("string")), ", "), F.lit("]"))
 
 
-def rendered(most: int = 1200) -> Column:
+def location(page: Column, bbox: Column, page_span: Column | None = None) -> Column:
+    """Where a context stands: its page, page span and box, or the empty text."""
+    span = F.when(F.size(page_span) > 0, F.concat(F.lit("page_span "), _list(page_span))) if page_span is not None else F.lit(None).cast("string")
+    return F.concat_ws(", ", F.when(page != 0, F.concat(F.lit("page "), page.cast("string"))), span, F.when(F.size(bbox) > 0, F.concat(F.lit("bbox "), _list(bbox))))
+
+
+def rendered(most: int = 1200, spans: bool = False) -> Column:
     """One context as lines: id, location, score, title, summary where it differs, content."""
-    where = location(F.col("page"), F.col("bbox"))
+    where = location(F.col("page"), F.col("bbox"), F.col("page_span") if spans else None)
     title, summary, content = text.compact(F.col("title"), 240), text.compact(F.col("summary"), most), text.compact(F.col("content"), most)
     body = F.concat_ws(
         "\n",
@@ -54,7 +58,7 @@ def rendered(most: int = 1200) -> Column:
 
 def prompts(queries: DataFrame, contexts: DataFrame, template: str = TEMPLATE, most: int = 1200) -> DataFrame:
     """(query_id, prompt): the template with the query and its evidence; ``None.`` where there is none."""
-    lines = contexts.select("query_id", "modality", "place", rendered(most).alias("line"))
+    lines = contexts.select("query_id", "modality", "place", rendered(most, "page_span" in contexts.columns).alias("line"))
     parts = lines.groupBy("query_id").agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("modality") == m, F.struct("place", "line")))), lambda x: x["line"]), "\n\n").alias(m) for m in PREFIX])
     joined = queries.join(parts, "query_id", "left")
     slots = {"query": F.coalesce(F.col("query"), F.lit(""))} | {f"{m}_evidence": F.coalesce(F.nullif(F.col(m), F.lit("")), F.lit("None.")) for m in PREFIX}

@@ -107,21 +107,20 @@ def passing(hits: DataFrame, thresholds: dict[str, float] = THRESHOLDS, include_
 def retrieve(hits: DataFrame, queries: DataFrame, thresholds: dict[str, float] = THRESHOLDS, least_text: int = LEAST_TEXT, caps: dict[str, int] = CAPS) -> DataFrame:
     """(query_id, mode, modality, vec_id, rank, score, passed): what each query's answer may use.
 
-    Enough text above its threshold: all of that text (``text_only``).  Else tables and images above
-    theirs, capped (``multimodal``).  Nothing above any threshold: everything, uncapped
+    Enough text above its threshold: all of that text (``text_only``).  Else the text, tables and
+    images above theirs, the latter two capped (``multimodal``).  Nothing above any threshold: everything, uncapped
     (``raw_fallback``).  A query without any record is ``multimodal`` with a row of nulls.
     """
     marked = with_thresholds(hits, thresholds)
     per = marked.groupBy("query_id").agg(F.count_if(F.col("passed") & (F.col("modality") == "text")).alias("texts"), F.count_if("passed").alias("any"), F.count("*").alias("raw"))
     enough = F.col("texts") >= least_text
-    # text that passes but is too little is not part of a multimodal answer
     mode = F.when(enough, "text_only").when((F.col("any") == 0) & (F.col("raw") > 0), "raw_fallback").otherwise("multimodal")
     modes = queries.select("query_id").join(per, "query_id", "left").select("query_id", F.coalesce(mode, F.lit("multimodal")).alias("mode"))
     ranked = marked.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "modality").orderBy(~F.col("passed"), "rank")))
     cap = F.coalesce(_of(caps, F.col("modality")), F.lit(1 << 30))
     keep = (
         ((F.col("mode") == "text_only") & (F.col("modality") == "text") & F.col("passed"))
-        | ((F.col("mode") == "multimodal") & (F.col("modality") != "text") & F.col("passed") & (F.col("place") <= cap))
+        | ((F.col("mode") == "multimodal") & F.col("passed") & (F.col("place") <= cap))
         | (F.col("mode") == "raw_fallback")
     )
     chosen = ranked.join(modes, "query_id").where(keep).select("query_id", "modality", "vec_id", "rank", F.round("score", 6).alias("score"), "passed")

@@ -154,8 +154,8 @@ hits AS (
 )"""
 
 
-def _retrieved(limit: float) -> str:
-    return f"""{_VECTORS}, marked AS (SELECT *, score >= {limit}::DOUBLE AS passed FROM hits),
+def _retrieved(limit: float | str) -> str:
+    return f"""{_VECTORS}, marked AS (SELECT *, score >= ({limit})::DOUBLE AS passed FROM hits),
 modes AS (
     SELECT q.query_id, CASE WHEN count(*) FILTER (passed AND modality = 'text') >= 6 THEN 'text_only'
         WHEN count(*) FILTER (passed) = 0 AND count(m.vec_id) > 0 THEN 'raw_fallback' ELSE 'multimodal' END AS mode
@@ -165,7 +165,7 @@ modes AS (
 ), chosen AS (
     SELECT p.* FROM placed p JOIN modes USING (query_id)
     WHERE (mode = 'text_only' AND modality = 'text' AND passed) OR mode = 'raw_fallback'
-       OR (mode = 'multimodal' AND modality <> 'text' AND passed AND place <= CASE modality WHEN 'table' THEN 4 ELSE 3 END)
+       OR (mode = 'multimodal' AND passed AND (modality = 'text' OR place <= CASE modality WHEN 'table' THEN 4 ELSE 3 END))
 ), retrieved AS (
     SELECT m.query_id, mode, modality, vec_id, rank, round(score, 6) AS score, passed FROM modes m LEFT JOIN chosen USING (query_id)
 )"""
@@ -175,14 +175,14 @@ def _contexts(most: int = 80) -> str:
     return f"""{_retrieved(0.2)}, contexts AS (
     SELECT g.query_id, modality, vec_id, rank, round(g.score, 3) AS score, printf('rec_%06d', vec_id) AS id, query AS title, generated_answer AS content,
            coalesce(nullif(expected_answer, ''), generated_answer) AS summary, CASE WHEN modality <> 'text' THEN vec_id % 7 END AS page,
-           CASE WHEN page > 3 THEN [page::DOUBLE, 2.5::DOUBLE] END AS bbox,
+           CASE WHEN page > 3 THEN [page::DOUBLE, 2.5::DOUBLE] END AS bbox, CASE WHEN page IS NULL AND vec_id % 2 = 0 THEN [vec_id % 5, vec_id % 5 + 1] END AS page_span,
            row_number() OVER (PARTITION BY g.query_id, modality ORDER BY rank) AS place,
            CASE modality WHEN 'text' THEN 'E' WHEN 'table' THEN 'T' ELSE 'I' END || place AS evidence_id
     FROM retrieved g LEFT JOIN query_summaries s ON s.run_id = g.vec_id WHERE g.vec_id IS NOT NULL
 ), rendered AS (
     SELECT *, '[' || evidence_id || ']' || chr(10) || coalesce(nullif(concat_ws(chr(10),
-        CASE WHEN page <> 0 THEN 'Location: ' || concat_ws(', ', 'page ' || page, CASE WHEN len(bbox) > 0 THEN 'bbox [' || array_to_string(list_transform(bbox, lambda v: v::VARCHAR), ', ') || ']' END)
-             WHEN len(bbox) > 0 THEN 'Location: bbox' END,
+        'Location: ' || nullif(concat_ws(', ', CASE WHEN page <> 0 THEN 'page ' || page END, CASE WHEN len(page_span) > 0 THEN 'page_span [' || array_to_string(page_span, ', ') || ']' END,
+            CASE WHEN len(bbox) > 0 THEN 'bbox [' || array_to_string(list_transform(bbox, lambda v: v::VARCHAR), ', ') || ']' END), ''),
         'Score: ' || score::VARCHAR,
         'Title: ' || nullif({_compact('title', 240)}, ''),
         CASE WHEN {_compact('summary', most)} <> '' AND {_compact('summary', most)} <> {_compact('content', most)} THEN 'Summary: ' || {_compact('summary', most)} END,
@@ -339,6 +339,7 @@ SQL: dict[str, str] = {
     "retrieve_mode": f"WITH {_retrieved(0.2)} SELECT * FROM retrieved",
     "retrieve_trace": f"""WITH {_retrieved(0.2)} SELECT query_id, mode, count(*) FILTER (modality = 'text') AS texts, count(*) FILTER (modality = 'table') AS tables, count(*) FILTER (modality = 'image') AS images, count(vec_id) AS total,
         count(*) FILTER (passed = false) AS below, mode <> 'text_only' AS fallback_triggered FROM retrieved GROUP BY 1, 2""",
+    "retrieve_multimodal": f"WITH {_retrieved("CASE modality WHEN 'text' THEN 0.3 ELSE 0.2 END")} SELECT * FROM retrieved",
     "raw_fallback": f"WITH {_retrieved(1.5)} SELECT * FROM retrieved",
     "context_normalize": f"WITH {_contexts()} SELECT query_id, modality, vec_id, summary FROM contexts",
     "evidence_ids": f"WITH {_contexts()} SELECT query_id, modality, vec_id, evidence_id FROM contexts",
