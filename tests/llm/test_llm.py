@@ -261,6 +261,16 @@ def test_noise(lexicon, text, kinds):
     assert scan_noise.noise_of(text, 2, lexicon) == kinds
 
 
+@pytest.mark.parametrize("text, kinds", [
+    ("![Chart](imgs/chart_1.jpg)\nthe cornmittee met", ["misread"]), ("| a | b |\n|---|---:|\n| c | 1 |\nthe cornmittee met", ["misread"]), ("the cornmittee met\n| a | b |", ["misread"]), ("the cornmittee met\nfor governance|", ["misread"]),
+    ("the board moved\n|imit under a cornmittee", ["misread"]), ('{| class="x"\n! a !! b\n|-\n| c || 1\n|} the cornmittee met', ["misread"]), ("the board\n|ong met |ong", ["misread"]),
+    ("| the cornmittee | 3O |\n|rnargin||3O\nthe board", []), ("a | cornmittee |\nthe board", []), ("|p|an|", []), ('{|\n! rnargin\n|-\n|rnargin\n|}\nthe board', []),
+])
+def test_noise_beside_tables(text, kinds):
+    lexicon = scan_noise.Lexicon({w: 1000 for w in "the committee met for governance board moved limit long under margin plan a".split()})
+    assert scan_noise.noise_of(text, 2, lexicon) == kinds
+
+
 def test_repair(lexicon):
     assert scan_noise.repair("the cornmi-\nttee moved $SO.9 million", lexicon)[0] == "the committee moved $50.9 million"
     assert scan_noise.explained("cornrnittee", "committee") and not scan_noise.explained("file", "the")
