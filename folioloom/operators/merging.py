@@ -2,26 +2,28 @@
 
 Short answers join the chunk before them, contained chunks go, strongly overlapping chunks merge,
 then the most similar neighbours merge until a budget is used up.  Every step depends on the one
-before, so a filing is worked through in one task; a filing of more than ``SEGMENT`` chunks is cut
-into segments of consecutive chunks, each with its own share of the budget, so that no task grows
-with the largest filing.
+before, so a filing of any size is worked through whole, in one task.  Candidates are found through
+shared or close sentences and pages and wait in heaps, so work follows the pairs that stand close
+and not the square of the chunks.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cached_property
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioloom.functions import text
-from folioloom.operators.chunks import placed
 from folioloom.providers import Embedder, HashedWords
 
-#: Chunks of one filing that are merged in one task.
-SEGMENT = 2000
+#: Texts that go to the embedder at once.
+BATCH = 1024
 
 
 @dataclass(frozen=True)
@@ -51,6 +53,7 @@ class _Piece:
     sources: tuple[str, ...]
     short: tuple[str, ...] = ()
 
+    @cached_property
     def order(self) -> tuple:
         tail = re.search(r"\d+$", self.key)
         return (self.ids[0], self.ids[-1], len(self.ids), self.key[: tail.start()] if tail else self.key, int(tail.group()) if tail else -1, self.key)
@@ -60,115 +63,158 @@ class Merger:
     """The merge steps over the pieces of one filing."""
 
     def __init__(self, pieces: list[_Piece], words: dict[int, str], settings: Settings, embedder: Embedder):
-        self.pieces = sorted(pieces, key=_Piece.order)
+        self.pieces = sorted(pieces, key=lambda p: p.order)
         self.sentences, self.settings, self.embedder = words, settings, embedder
+        self.lengths = {i: len(x.split()) for i, x in words.items()}
         self.events: list[dict] = []
         self.made = 0
-        self.counts: dict[tuple[int, ...], int] = {}
 
     def text(self, ids: tuple[int, ...]) -> str:
         return " ".join(self.sentences[i] for i in ids if i in self.sentences)
 
-    def size(self, ids: tuple[int, ...]) -> int:
-        if ids not in self.counts:
-            self.counts[ids] = sum(len(self.sentences.get(i, "").split()) for i in ids)
-        return self.counts[ids]
+    def size(self, ids: Iterable[int]) -> int:
+        return sum(self.lengths.get(i, 0) for i in ids)
+
+    def fits(self, a: _Piece, b: _Piece) -> bool:
+        return self.size({*a.ids, *b.ids}) <= self.settings.most_words
 
     def join(self, a: _Piece, b: _Piece, phase: str, score: float) -> _Piece:
         self.made += 1
         both = _Piece(f"merged_{self.made:06d}", tuple(sorted({*a.ids, *b.ids})), tuple(sorted({*a.pages, *b.pages})), tuple(sorted({*a.sources, *b.sources})))
-        self.pieces = sorted([p for p in self.pieces if p is not a and p is not b] + [both], key=_Piece.order)
         self.events.append({"phase": phase, "merged": both.key, "first": a.key, "second": b.key, "score": score})
         return both
 
     def repair_short(self) -> None:
+        """The first short piece in order that fits joins the piece before it, again and again."""
         s = self.settings
-        while True:
-            ends: dict[int, list[_Piece]] = {}
-            for p in self.pieces:
-                ends.setdefault(p.ids[-1] + 1, []).append(p)
-            for p in self.pieces:
-                if len(p.ids) > s.small_sentences or not p.short or self.size(p.ids) > s.small_words:
-                    continue
-                before = sorted((q for q in ends.get(p.ids[0], ()) if q is not p), key=lambda q: (-len(q.ids), q.ids[0], q.order()))
-                if before and self.size(tuple(sorted({*before[0].ids, *p.ids}))) <= s.most_words:
-                    self.join(before[0], p, "short_previous_repair", 0.0)
-                    break
-            else:
-                return
+        ends: dict[int, dict[_Piece, None]] = {}
+        shorts: dict[int, list[_Piece]] = {}
+        alive = dict.fromkeys(self.pieces)
+        for p in self.pieces:
+            ends.setdefault(p.ids[-1] + 1, {})[p] = None
+            if len(p.ids) <= s.small_sentences and p.short and self.size(p.ids) <= s.small_words:
+                shorts.setdefault(p.ids[0], []).append(p)
+        waiting = [(p.order, n, p) for n, p in enumerate(p for held in shorts.values() for p in held)]
+        made = len(waiting)
+        heapify(waiting)
+        while waiting:
+            p = heappop(waiting)[2]
+            before = ends.get(p.ids[0]) if p in alive else None
+            if not before:
+                continue
+            q = min(before, key=lambda x: (-len(x.ids), x.ids[0], x.order))
+            if not self.fits(q, p):
+                continue
+            both = self.join(q, p, "short_previous_repair", 0.0)
+            for x in (p, q):
+                del alive[x], ends[x.ids[-1] + 1][x]
+            alive[both] = ends.setdefault(both.ids[-1] + 1, {})[both] = None
+            # only what starts where one of them ended has another piece before it now
+            for start in {p.ids[0], p.ids[-1] + 1}:
+                for x in shorts.get(start, ()):
+                    if x in alive:
+                        made += 1
+                        heappush(waiting, (x.order, made, x))
+        self.pieces = sorted(alive, key=lambda x: x.order)
 
     def drop_contained(self, phase: str) -> None:
-        sets = {p.key: frozenset(p.ids) for p in self.pieces}
+        sets = {p: frozenset(p.ids) for p in self.pieces}
         holders: dict[int, list[_Piece]] = {}
         for p in self.pieces:
             for i in p.ids:
                 holders.setdefault(i, []).append(p)
         target = {}
         for p in self.pieces:
-            over = [q for q in holders[p.ids[0]] if q is not p and sets[p.key] <= sets[q.key] and (len(q.ids) > len(p.ids) or q.order() < p.order())]
+            over = [q for q in holders[p.ids[0]] if q is not p and sets[p] <= sets[q] and (len(q.ids) > len(p.ids) or q.order < p.order)]
             if over:
-                target[p.key] = min(over, key=lambda q: (-len(q.ids), q.order()))
-        for p in sorted((p for p in self.pieces if p.key in target), key=_Piece.order, reverse=True):
-            q = target[p.key]
+                target[p] = min(over, key=lambda q: (-len(q.ids), q.order))
+        for p in sorted(target, key=lambda x: x.order, reverse=True):
+            q = target[p]
             q.sources = tuple(sorted({*q.sources, *p.sources}))
             self.events.append({"phase": phase, "merged": q.key, "first": q.key, "second": p.key, "score": 1.0})
-        self.pieces = [p for p in self.pieces if p.key not in target]
+        self.pieces = [p for p in self.pieces if p not in target]
+
+    def merge_best(self, phase: str, near, ranks, most: int | None = None, added=None) -> None:
+        """The best pair merges, again and again, at most ``most`` times.
+
+        ``near`` gives the keys under which a piece is kept and those under which its neighbours
+        are found; ``ranks`` the (rank, score, piece) of the neighbours that may merge with a piece,
+        the least rank first; equal ranks go by the order of the pieces.
+        """
+        alive = dict.fromkeys(self.pieces)
+        kept: dict = {}
+        waiting: list = []
+        made = 0
+
+        def offer(p: _Piece) -> None:
+            nonlocal made
+            at, look = near(p)
+            found = dict.fromkeys(q for k in look for q in kept.get(k, ()))
+            for rank, score, q in ranks(p, found):
+                made += 1
+                a, b = (p, q) if p.order < q.order else (q, p)
+                heappush(waiting, (rank, a.order, b.order, made, score, a, b))
+            for k in at:
+                kept.setdefault(k, {})[p] = None
+
+        for p in self.pieces:
+            offer(p)
+        while waiting and (most is None or most > 0):
+            _, _, _, _, score, a, b = heappop(waiting)
+            if a not in alive or b not in alive or not self.fits(a, b):
+                continue
+            both = self.join(a, b, phase, score)
+            for x in (a, b):
+                del alive[x]
+                for k in near(x)[0]:
+                    del kept[k][x]
+            alive[both] = None
+            if added:
+                added(both, a, b)
+            offer(both)
+            if most is not None:
+                most -= 1
+        self.pieces = sorted(alive, key=lambda x: x.order)
 
     def merge_overlaps(self) -> None:
-        s = self.settings
-        while True:
-            best = None
-            for i, a in enumerate(self.pieces):
-                for b in self.pieces[i + 1 :]:
-                    if b.ids[0] > a.ids[-1]:
-                        break
-                    shared = len(set(a.ids) & set(b.ids))
-                    ratio = shared / min(len(a.ids), len(b.ids))
-                    if ratio < s.overlap:
-                        continue
-                    size = self.size(tuple(sorted({*a.ids, *b.ids})))
-                    if size > s.most_words:
-                        continue
-                    gap = 0 if shared else min(abs(x - y) for x in a.ids for y in b.ids)
-                    if best is None or (ratio, -size, -gap) > best[0]:
-                        best = ((ratio, -size, -gap), a, b)
-            if best is None:
-                return
-            self.join(best[1], best[2], "high_overlap_merge", best[0][0])
-
-    def near(self, a: _Piece, b: _Piece) -> bool:
-        if set(a.ids) & set(b.ids) or min(abs(x - y) for x in a.ids for y in b.ids) <= self.settings.most_gap:
-            return True
-        return bool(a.pages and b.pages) and min(abs(x - y) for x in a.pages for y in b.pages) <= 1
+        def ranks(p: _Piece, others):
+            ids = set(p.ids)
+            for q in others:
+                ratio = len(ids.intersection(q.ids)) / min(len(p.ids), len(q.ids))
+                if ratio >= self.settings.overlap:
+                    size = self.size(ids.union(q.ids))
+                    if size <= self.settings.most_words:
+                        yield (-ratio, size), ratio, q
+
+        self.merge_best("high_overlap_merge", lambda p: (p.ids, p.ids), ranks)
 
     def merge_similar(self, budget: int) -> None:
         import numpy as np
 
-        s = self.settings
+        gap = self.settings.most_gap
         if len(self.pieces) < 2 or budget < 1:
             return
-        vectors = np.array(self.embedder.encode([self.text(p.ids) for p in self.pieces]))
-        scores = vectors @ vectors.T
-        for _ in range(budget):
-            order = self.pieces
-            best = None
-            for i in range(len(order)):
-                # only pairs better than the best so far can matter
-                bar = s.similarity if best is None else best[0]
-                for j in np.flatnonzero(scores[i, i + 1 :] > bar) + i + 1:
-                    score = float(scores[i, j])
-                    if (best is None or score > best[0]) and self.near(order[i], order[j]) and self.size(tuple(sorted({*order[i].ids, *order[j].ids}))) <= s.most_words:
-                        best = (score, i, int(j))
-            if best is None:
-                return
-            score, i, j = best
-            both = self.join(order[i], order[j], "embedding_greedy_merge", score)
-            # one row and column of the matrix change, the rest stays
-            at = self.pieces.index(both)
-            vectors = np.insert(np.delete(vectors, (i, j), axis=0), at, self.embedder.encode([self.text(both.ids)])[0], axis=0)
-            row = vectors @ vectors[at]
-            scores = np.delete(np.delete(scores, (i, j), axis=0), (i, j), axis=1)
-            scores = np.insert(np.insert(scores, at, np.delete(row, at), axis=0), at, row, axis=1)
+        vectors = {}
+        for n in range(0, len(self.pieces), BATCH):
+            some = self.pieces[n : n + BATCH]
+            vectors.update(zip(some, np.array(self.embedder.encode([self.text(p.ids) for p in some]))))
+
+        def near(p: _Piece) -> tuple[list, list]:
+            at = [*p.ids, *(("page", n) for n in p.pages)]
+            return at, [*sorted({i + d for i in p.ids for d in range(-gap, gap + 1)}), *sorted({("page", n + d) for n in p.pages for d in (-1, 0, 1)})]
+
+        def ranks(p: _Piece, others):
+            if others:
+                scores = np.stack([vectors[q] for q in others]) @ vectors[p]
+                for q, score in zip(others, scores.tolist()):
+                    if score > self.settings.similarity:
+                        yield -score, score, q
+
+        def added(both: _Piece, a: _Piece, b: _Piece) -> None:
+            del vectors[a], vectors[b]
+            vectors[both] = np.array(self.embedder.encode([self.text(both.ids)]))[0]
+
+        self.merge_best("embedding_greedy_merge", near, ranks, budget, added)
 
     def run(self) -> None:
         if len(self.pieces) < 2:
@@ -181,36 +227,39 @@ class Merger:
         self.drop_contained("final_containment_cleanup")
 
 
-def segments(chunks: DataFrame) -> DataFrame:
-    """Chunks with the segment of their filing in which they are merged."""
-    return placed(chunks).withColumn("segment", F.floor((F.col("place") - 1) / SEGMENT).cast("int")).drop("place")
-
-
 def merge(chunks: DataFrame, sentences: DataFrame, settings: Settings = Settings(), embedder: Embedder | None = None) -> DataFrame:
     """(document_id, segment, kind, key, ids, sources, phase, first, second, seq, score).
 
     Rows of kind ``chunk`` are the chunks at the end, rows of kind ``event`` the merges in order.
+    A filing is one segment, 0.
     """
     model = embedder or HashedWords()
-    cut = segments(chunks).select("document_id", "segment", "chunk_id", "ids", "page_span")
-    each = cut.select("*", F.explode("ids").alias("sentence_id"))
-    rows = each.join(sentences.select("document_id", "sentence_id", F.col("text").alias("sentence")), ["document_id", "sentence_id"], "left")
-    rows = rows.withColumn("short", F.when(F.size("ids") == 1, text.short_answer_reasons(F.coalesce("sentence", F.lit("")))))
+    held = chunks.select("document_id", "chunk_id", "ids", "page_span")
+    used = held.select("document_id", F.explode("ids").alias("sentence_id")).distinct()
+    said = sentences.select("document_id", "sentence_id", F.col("text").alias("sentence")).join(used, ["document_id", "sentence_id"], "left_semi")
+    said = said.withColumn("short", text.short_answer_reasons(F.col("sentence")))
     schema = "document_id string, segment int, kind string, key string, ids array<bigint>, sources array<string>, phase string, first string, second string, seq int, score double"
 
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        words, pieces = {}, {}
-        for r in frame.itertuples():
+    def work(chunk_rows: pd.DataFrame, sentence_rows: pd.DataFrame) -> pd.DataFrame:
+        words, short = {}, {}
+        for r in sentence_rows.itertuples():
             if r.sentence is not None:
                 words[int(r.sentence_id)] = r.sentence
+            if r.short is not None and len(r.short):
+                short[int(r.sentence_id)] = tuple(r.short)
+        pieces = {}
+        for r in chunk_rows.itertuples():
             if r.chunk_id not in pieces:
+                ids = tuple(int(i) for i in r.ids)
                 span = [int(p) for p in r.page_span if p is not None] if r.page_span is not None else []
-                pieces[r.chunk_id] = _Piece(r.chunk_id, tuple(int(i) for i in r.ids), tuple(sorted(set(span))), (r.chunk_id,), tuple(r.short) if r.short is not None else ())
+                pieces[r.chunk_id] = _Piece(r.chunk_id, ids, tuple(sorted(set(span))), (r.chunk_id,), short.get(ids[0], ()) if len(ids) == 1 else ())
+        if not pieces:
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
         merger = Merger(list(pieces.values()), words, settings, model)
         merger.run()
-        document, segment = frame["document_id"].iloc[0], int(frame["segment"].iloc[0])
-        out = [(document, segment, "chunk", p.key, list(p.ids), list(p.sources), None, None, None, n, None) for n, p in enumerate(merger.pieces, 1)]
-        out += [(document, segment, "event", e["merged"], None, None, e["phase"], e["first"], e["second"], n, e["score"]) for n, e in enumerate(merger.events, 1)]
+        document = chunk_rows["document_id"].iloc[0]
+        out = [(document, 0, "chunk", p.key, list(p.ids), list(p.sources), None, None, None, n, None) for n, p in enumerate(merger.pieces, 1)]
+        out += [(document, 0, "event", e["merged"], None, None, e["phase"], e["first"], e["second"], n, e["score"]) for n, e in enumerate(merger.events, 1)]
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return rows.groupBy("document_id", "segment").applyInPandas(work, schema)
+    return held.groupBy("document_id").cogroup(said.groupBy("document_id")).applyInPandas(work, schema)

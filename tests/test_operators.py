@@ -150,6 +150,18 @@ def test_merge_steps(spark):
     assert next(r for r in got if r.kind == "chunk").sources == ["chunk_000001", "chunk_000002", "chunk_000003"]
 
 
+def test_large_filing_merges_whole(spark):
+    n = 2004
+    rows = [(k, "d", f"chunk_{k:06d}", [k], "", [0], [k, k]) for k in range(n) if k != 1998] + [(n, "d", "chunk_009999", [1997, 1998], "", [0], [1997, 1998])]
+    said = {1999: "omega psi chi phi", 2000: "Yes", 2001: "omega psi chi phi"}
+    name = lambda k, x: x + "".join("abcdefghij"[int(i)] for i in str(k))
+    s = spark.createDataFrame([("d", k, said.get(k, f"{name(k, chr(107))} {name(k, chr(108))} {name(k, chr(109))}"), k) for k in range(n)], "document_id string, sentence_id bigint, text string, page int")
+    got = merging.merge(spark.createDataFrame(rows, CHUNKS), s, merging.Settings(budget=0.0005)).collect()
+    assert [(r.phase, r.first, r.second) for r in sorted((r for r in got if r.kind == "event"), key=lambda r: r.seq)] == [
+        ("short_previous_repair", "chunk_001999", "chunk_002000"), ("containment_cleanup", "chunk_009999", "chunk_001997"), ("embedding_greedy_merge", "merged_000001", "chunk_002001")]
+    assert [1999, 2000, 2001] in [r.ids for r in got if r.kind == "chunk"] and len({r.segment for r in got}) == 1
+
+
 def test_merge_settings_are_checked():
     with pytest.raises(ValueError):
         merging.Settings(overlap=2)
