@@ -48,6 +48,23 @@ def windows(sentences: DataFrame, width: int = 6, step: int = 4) -> DataFrame:
     return _into_windows(placed, "document_id", "at", 1, width, step).groupBy("document_id", "block_id").agg(F.array_sort(F.collect_list("sentence_id")).alias("sentence_ids"))
 
 
+def config_windows(sentences: DataFrame, configs: DataFrame) -> DataFrame:
+    """(config_id, document_id, block_id, sentence_ids): the windows of every document under each configuration.
+
+    A null ``step_size`` is the window less its overlap.  Only the few configurations are crossed
+    with the numbered sentences.
+    """
+    step = F.coalesce("step_size", F.col("window_size") - F.col("overlap"))
+    sizes = configs.select("config_id", F.col("window_size").alias("width"), step.alias("step"))
+    placed = numbered(sentences.select("document_id", "sentence_id"), ["document_id"], F.col("sentence_id"), [F.col("sentence_id")], "at").withColumn("at", F.col("at") - 1)
+    end = F.greatest(F.lit(0), F.ceil((F.col("n") - F.col("width")) / F.col("step"))).cast("int")
+    last = placed.groupBy("document_id").agg(F.count("*").alias("n")).crossJoin(F.broadcast(sizes)).select("document_id", "config_id", "width", "step", end.alias("last"))
+    first = F.greatest(F.lit(0), F.ceil((F.col("at") + 1 - F.col("width")) / F.col("step"))).cast("int")
+    until = F.least(F.floor(F.col("at") / F.col("step")).cast("int"), F.col("last"))
+    held = placed.join(last, "document_id").where(first <= until).withColumn("block_id", F.explode(F.sequence(first, until)))
+    return held.groupBy("config_id", "document_id", "block_id").agg(F.array_sort(F.collect_list("sentence_id")).alias("sentence_ids"))
+
+
 def neighbour_distances(vectors: DataFrame, group: str, order: str, vector: str = "embedding") -> DataFrame:
     """(group, order, distance): one minus the cosine to the next vector of the group."""
     norm = lambda c: F.sqrt(arrays.dot(c, c))

@@ -269,6 +269,12 @@ def config_windows(spark, d):
     return c.select("config_id", F.posexplode(arrays.windows(ids, F.col("window_size"), step)).alias("block_id", "ids"))
 
 
+@query
+def config_sentence_windows(spark, d):
+    """The windows of all sentences of every filing under every chunking configuration."""
+    return sentences.config_windows(_sentences(spark, d), table(spark, d, "chunking_configs"))
+
+
 def _distances(spark, d):
     return sentences.neighbour_distances(table(spark, d, "embeddings"), "label", "vec_id")
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from folioloom.config import Config, Retrieval
 from folioloom.functions import arrays, geometry, text
 from folioloom.operators import assets, blocks, catalog, chunks, enrichment, evidence, merging, ordered, records, sentences, vectors
-from folioloom.plans import pipelines
+from folioloom.plans import pipelines, registry
 from folioloom.providers import HashedWords
 from folioloom.sources import files, json_io, ocr_json
 
@@ -74,6 +74,24 @@ def test_windows(spark, n, count):
     assert [r.sentence_ids for r in sentences.windows(s).orderBy("block_id").collect()] == got
 
 
+def test_config_windows(spark, tables):
+    rows = [("d", i * 3) for i in range(29)] + [("e", i) for i in range(2)]
+    s = spark.createDataFrame(rows, "document_id string, sentence_id bigint")
+    configs = [(1, 6, 2, None), (2, 6, 1, 5), (3, 3, 1, 4), (4, 40, 0, 7)]
+    c = spark.createDataFrame(configs, "config_id int, window_size int, overlap int, step_size int")
+    want = set()
+    for n, width, over, step in configs:
+        step = step or width - over
+        for doc in "de":
+            ids = [i for d, i in rows if d == doc]
+            want |= {(n, doc, k, tuple(ids[k * step : k * step + width])) for k in range(max(0, -(-(len(ids) - width) // step)) + 1)}
+    got = [(r.config_id, r.document_id, r.block_id, tuple(r.sentence_ids)) for r in sentences.config_windows(s, c).collect()]
+    assert len(got) == len(want) and set(got) == want
+    held = registry.queries()["config_sentence_windows"](spark, tables)
+    rest = held.where("config_id = 4").drop("config_id").exceptAll(registry.queries()["sliding_windows"](spark, tables).select("document_id", "block_id", "sentence_ids"))
+    assert rest.count() == 0 and held.where("size(sentence_ids) > 0").select("document_id").distinct().count() == sentences.current(spark.read.parquet(f"{tables}/sentences.parquet")).select("document_id").distinct().count()
+
+
 def test_titles_of_two_pages(spark):
     rows = [
         (1, "d", 0, 1, None, "doc_title", "Morgan", [400, 300, 800, 344]), (2, "d", 0, 2, None, "table", "t", [81, 393, 1136, 485]), (3, "d", 0, 3, None, "table", "t", [80, 530, 1143, 1099]),
