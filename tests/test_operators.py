@@ -41,6 +41,12 @@ def test_text_functions(spark):
     assert one(spark, text.word_count, a=None) == 0
 
 
+def test_all_entities(spark):
+    assert one(spark, text.unescape, a="caf&eacute; &uuml;&#x2019; &copy 5 &amp;amp; R&D &#8217 &#0000065;") == "café ü’ © 5 &amp; R&D ’ A"
+    rows = spark.createDataFrame([(1, None), (2, "a < b"), (3, "&Eacute;")], "k int, a string")
+    assert {r.k: r.v for r in rows.select("k", text.unescape(F.col("a")).alias("v")).collect()} == {1: None, 2: "a < b", 3: "É"}
+
+
 @pytest.mark.parametrize("value, reasons", [
     ("☒ Yes", ["checkbox"]), ("yes ☒", ["checkbox", "yes_no_answer"]), ("$1,234.5", ["numeric_like"]), ("N/A.", ["short_status"]), ("- none;", ["short_status"]),
     ("no", ["yes_no_answer"]), ("Revenue rose", []), ("", []), ("1 2 3 4 5 6 7 8 9", []), ("[ ]", ["checkbox"]),
