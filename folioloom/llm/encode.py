@@ -1,10 +1,17 @@
 """Problem 6: token ids of a whole corpus with a public byte-level BPE vocabulary.
 
 Each partition is encoded where it lies; nothing is shuffled.  Inside a partition the words
-not met before go through a recursive DuckDB query: one row per (word, position, token), a join
-of neighbouring tokens with the merge table, contraction of every word's leftmost pair of least
-rank, repeated until no pair of the word can be merged.  Texts are then assembled from the
-word -> ids table.  Decoding is an ordered DuckDB aggregation over (text, position, id) rows.
+not met before go through a recursive DuckDB query: one row per (piece, position, token), a join
+of neighbouring tokens with the merge table, contraction of every piece's leftmost pair of least
+rank, repeated until no pair can be merged.  Texts are then assembled from the word -> ids
+table.  Decoding is an ordered DuckDB aggregation over (text, position, id) rows.
+
+A word longer than a window is encoded as overlapping windows.  Two windows are put together
+behind a token that both have at the same place; where they have none, a window that begins at a
+token of the first comes between them, and where even that has none the word's windows become
+twice as wide.  This is exact: a row of tokens is the encoding of its text if and only if every
+two neighbours are the encoding of theirs (no merge can cross a boundary first), and every two
+neighbours of the result stand side by side in one of the windows.
 
 Defined results: a null or empty text has the empty array; white space is text; rows are kept
 one for one, repeated ids included; further columns are ignored.
@@ -28,8 +35,10 @@ RANK_FILE = "byte_bpe_50k.tiktoken"
 # fixed value: the split pattern that belongs to the byte-level vocabularies
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Words sent to one recursive query; bounds DuckDB's memory.
-WORDS_PER_QUERY = 20_000
+#: Bytes of a window; each shares half of them with the next one.
+WINDOW = 32
+#: Rows that the steps of one recursive query may make (a piece of n bytes makes n * n / 2 at most); bounds DuckDB's memory.
+ROWS_PER_QUERY = 1_000_000
 #: Word ids remembered by a worker; when full the memory starts afresh (speed only, never results).
 REMEMBERED_WORDS = 300_000
 
@@ -37,12 +46,12 @@ _CONTRACT = """
 WITH RECURSIVE state AS (
     SELECT 0 AS step, w, pos, tok FROM symbols
     UNION ALL
-    SELECT step + 1, w, pos, CASE WHEN pos = target THEN best // 65536 ELSE tok END
+    SELECT step + 1, w, pos, CASE WHEN pos = target THEN best // 4294967296 ELSE tok END
     FROM (
-        SELECT step, w, pos, tok, before, best, best % 65536 AS target
+        SELECT step, w, pos, tok, before, best, best % 4294967296 AS target
         FROM (
             SELECT p.step, p.w, p.pos, p.tok, p.before,
-                   min(m.made * 65536 + p.pos) OVER (PARTITION BY p.w) AS best
+                   min(m.made * 4294967296 + p.pos) OVER (PARTITION BY p.w) AS best
             FROM (
                 SELECT step, w, pos, tok,
                        tok * 65536 + lead(tok) OVER seq AS pair, lag(pos) OVER seq AS before
@@ -96,57 +105,130 @@ class Encoder:
         self.split = regex.compile(SPLIT_PATTERN).findall
         self.known: dict[str, list[int]] = {}
         self.first = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.size = {rank: len(token) for token, rank in ranks.items()}
+        # the rows of a query are bounded, so nothing needs a folder to spill to
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         self.con.register("given", pa.table({"pair": pa.array(pairs, pa.int64()), "made": pa.array(made, pa.int64())}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.con.register("words", pa.table({"id": pa.array(list(ranks.values()), pa.int64()), "hex": [t.hex() for t in ranks]}))
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM words")
 
-    def learn(self, words: list[str]) -> None:
-        """Encode ``words`` by the recursive query and remember their ids."""
+    def contract(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of every piece by the recursive query, in batches of bounded size."""
         import numpy as np
 
-        for start in range(0, len(words), WORDS_PER_QUERY):
-            some = words[start : start + WORDS_PER_QUERY]
-            # a lone surrogate cannot be UTF-8; it becomes the replacement sign, as in the libraries
-            raw = [w.encode("utf-8", "replace") for w in some]
-            sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
-            flat = self.first[np.frombuffer(b"".join(raw), dtype=np.uint8)]
-            # positions share a product with 65536 in the query; longer words go to the plain loop
-            short = sizes < 65536
+        out: list[list[int]] = []
+        at = 0
+        while at < len(pieces):
+            end, rows = at, 0
+            while end < len(pieces) and (end == at or rows + len(pieces[end]) ** 2 // 2 <= ROWS_PER_QUERY):
+                rows += len(pieces[end]) ** 2 // 2
+                end += 1
+            some = pieces[at:end]
+            sizes = np.fromiter(map(len, some), dtype=np.int64, count=len(some))
+            flat = self.first[np.frombuffer(b"".join(some), dtype=np.uint8)]
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            owner = np.repeat(np.arange(len(raw)), sizes)
-            keep = short[owner]
-            self.con.register("symbols", pa.table({"w": owner[keep], "pos": pos[keep], "tok": flat[keep]}))
-            found = self.con.sql(_CONTRACT).to_arrow_table()
-            for w, ids in zip(found["w"].to_pylist(), found["ids"].to_pylist()):
-                self.known[some[w]] = ids
-            for w in np.flatnonzero(~short):
-                self.known[some[w]] = self._long(flat[owner == w])
-
-    def _long(self, tokens) -> list[int]:
-        """A single word of 65,536 bytes or more: the same contraction over a heap of pairs."""
-        import heapq
-
-        merges = dict(self.con.sql("SELECT pair, made FROM merges").fetchall())
-        tok = [int(t) for t in tokens]
-        after = list(range(1, len(tok))) + [-1]
-        before = list(range(-1, len(tok) - 1))
-        heap = [(merges[k], i) for i in range(len(tok) - 1) if (k := tok[i] * 65536 + tok[i + 1]) in merges]
-        heapq.heapify(heap)
-        alive = [True] * len(tok)
-        while heap:
-            rank, i = heapq.heappop(heap)
-            j = after[i] if alive[i] else -1
-            if j < 0 or merges.get(tok[i] * 65536 + tok[j]) != rank:
-                continue
-            tok[i], alive[j], after[i] = rank, False, after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            for a in (before[i], i):
-                if a >= 0 and after[a] >= 0 and (k := merges.get(tok[a] * 65536 + tok[after[a]])) is not None:
-                    heapq.heappush(heap, (k, a))
-        return [t for t, ok in zip(tok, alive) if ok]
+            self.con.register("symbols", pa.table({"w": np.repeat(np.arange(len(some)), sizes), "pos": pos, "tok": flat}))
+            out += self.con.sql(_CONTRACT).to_arrow_table()["ids"].to_pylist()
+            at = end
+        return out
+
+    def learn(self, words: list[str]) -> None:
+        """Encode ``words`` and remember their ids."""
+        # a lone surrogate cannot be UTF-8; it becomes the replacement sign, as in the libraries
+        raw = [w.encode("utf-8", "replace") for w in words]
+        ids: dict[bytes, list[int]] = {}
+        width = dict.fromkeys(range(len(raw)), WINDOW)
+        needed = {raw[w][a : a + WINDOW] for w in width for a in range(0, max(1, len(raw[w]) - WINDOW // 2), WINDOW // 2)}
+        while width:
+            fresh = sorted(needed, key=len)
+            ids.update(zip(fresh, self.contract(fresh)))
+            needed = set()
+            for w in list(width):
+                found = self._joined(raw[w], width[w], ids, needed)
+                while found is None:
+                    width[w] *= 2
+                    found = self._joined(raw[w], width[w], ids, needed)
+                if found:
+                    self.known[words[w]] = found
+                    del width[w]
+
+    def _joined(self, raw: bytes, width: int, ids: dict[bytes, list[int]], needed: set[bytes]) -> list[int] | None:
+        """The ids of ``raw`` put together from its windows.
+
+        Windows without ids are added to ``needed`` and the result is empty; it is None where two
+        windows share no token and wider ones are wanted.
+        """
+        if len(raw) <= width:
+            if raw not in ids:
+                needed.add(raw)
+                return []
+            return ids[raw]
+        out: list[int] = []
+        places: dict[int, tuple[int, int]] = {}  # start of a token of the last window: its end, and the tokens up to it
+        start = end = 0
+        whole = True
+
+        def join(a: int, tokens: list[int]) -> bool:
+            """Put a window that begins at ``a`` behind a token it shares with the last one."""
+            nonlocal places, start, end
+            at, skip = a, 0
+            if places:
+                for k, t in enumerate(tokens, 1):
+                    size = self.size[t]
+                    if places.get(at, (0, 0))[0] == at + size:
+                        skip = k
+                        del out[places[at][1] :]
+                        at += size
+                        break
+                    at += size
+                if not skip:
+                    return False
+            kept = {k: v for k, v in places.items() if v[1] <= len(out) and k >= a} if skip else {}
+            for t in tokens[skip:]:
+                out.append(t)
+                kept[at] = (at + self.size[t], len(out))
+                at += self.size[t]
+            places, start, end = kept, a, at
+            return True
+
+        grid = iter(range(0, len(raw) - width // 2, width // 2))
+        a = next(grid)
+        while end < len(raw):
+            if a < len(raw) and min(a + width, len(raw)) > end:
+                part = raw[a : a + width]
+                if part not in ids:
+                    needed.add(part)
+                    whole, places = False, {}
+                    end = max(end, a)
+                    a = next(grid, len(raw))
+                    if a == len(raw):
+                        break
+                    continue
+                if join(a, ids[part]):
+                    a = next(grid, len(raw))
+                    continue
+                between = min((p for p in places if start < p < end), key=lambda p: abs(p - start - width // 2), default=None)
+                if between is None:
+                    return None
+                part = raw[between : between + width]
+                if part not in ids:
+                    needed.add(part)
+                    whole, places = False, {}  # go on behind the gap
+                elif not join(between, ids[part]):
+                    return None
+            else:
+                a = next(grid, len(raw))
+                if a == len(raw) and end < len(raw):
+                    between = min((p for p in places if start < p < end), key=lambda p: abs(p - start - width // 2), default=None)
+                    part = raw[between : between + width] if between is not None else b""
+                    if not part or (part in ids and not join(between, ids[part])):
+                        return None
+                    if part not in ids:
+                        needed.add(part)
+                        whole = False
+                        break
+        return out if whole else []
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         import numpy as np

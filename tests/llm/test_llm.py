@@ -217,6 +217,39 @@ def test_clean_text():
     assert c("<div>" * 300 + "x").strip() == "x"
 
 
+@pytest.mark.parametrize("mark", ["<p>x", "<li>x", "<tr><td>y", "<div>x", "<b>x", "<table><tr><td>x", "<blockquote>x", "<sup>x", "<!-- x", "&lt;p&gt;x", "**a ", "''a ", "\\\\(a ", "\\\\textbf{a ", "[[a", "`a "])
+def test_markup_is_read_once(mark):
+    """Ten times the marks take some ten times as long, however deep they nest, and nothing recurses."""
+    import time
+
+    def seconds(n):
+        best = []
+        for _ in range(2):
+            start = time.perf_counter()
+            for step in (markup.kinds_of, markup.subtree_hashes, markup.convert):
+                step(mark * n)
+            best.append(time.perf_counter() - start)
+        return min(best)
+
+    assert seconds(20_000) < 30 * seconds(2_000) + 0.2
+
+
+def test_left_out_end_tags():
+    c = markup.convert
+    assert c("<table><tr><td>a<td>b x<tr><td>1<td>2</table>after") == "a\tb x\n1\t2\nafter"
+    assert c("<ul><li>a<li>b <ul><li>c<li>d</ul><li>e</ul>") == "- a\n- b\n- c\n- d\n- e"
+    assert c("<p>one<p>two<div>three</div>") == "one\n\ntwo\n\nthree" and c("<pre>\na = 1\n  b\n</pre>z") == "    a = 1\n      b\nz"
+    assert len(markup.Tree("<li>x" * 50).elements) == 50 and all(e.end - e.start == 5 for e in markup.Tree("<li>x" * 50).elements)
+    assert c(r"\textbf{a \emph{b {c} d}} e") == "a b {c} d e"
+    assert markup.kinds_of("drew $180 million from a_rev_2025.xlsx, then $4 million") == [] and markup.kinds_of("*" + "long words of emphasis " * 9 + "end*") == ["markdown"]
+
+
+def test_tables_are_no_template(spark):
+    rows = [(k, f"d{k}", "a", 0, "text", f"<table><tr><td>Settlement fees</td><td>{k}</td></tr></table><p>Shared legal notice {k}\r\nof the site</p>&lt;div&gt;Escaped shared notice&lt;/div&gt;") for k in range(6)]
+    clean = {r.block_key: (r.block_content, r.removed_subtrees) for r in markup.without_markup(spark.createDataFrame(rows, BLOCKS)).collect()}
+    assert clean == {k: (f"Settlement fees\t{k}", 2) for k in range(6)}
+
+
 def test_site_templates_go(spark):
     rows = [(k, f"d{k}", "a", 0, "text", f"<div class=n>Share this filing {k} with others</div><p>Body {chr(97 + k)} text</p>") for k in range(6)]
     rows += [(10, "d9", "b", 0, "text", "<div class=n>Share this filing 7 with others</div>"), (11, None, None, None, None, None), (12, "d", "a", 0, "text", ""), (13, "d", "a", 0, "text", "<b>" + LONG), (0, "d0", "a", 0, "text", rows[0][5])]
@@ -312,6 +345,19 @@ def test_ids_match_the_library(spark, library, tables):
     assert encode.encode_texts(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["letters", "zh", "repeated", "signs", "dashes", "mixed", "base64"])
+def test_long_words_match_the_library(library, name):
+    rng = random.Random(name)
+    word = {
+        "letters": "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12_000)), "zh": "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(4_000)), "repeated": "a" * 70_001, "signs": "ÃÂ" * 900,
+        "dashes": "\u2500" * 5_003, "mixed": "".join(rng.choice(["abc" * 40, "th", "\u2588" * 9, "e"]) for _ in range(300)), "base64": base64.b64encode(rng.randbytes(30_000)).decode(),
+    }[name]
+    encoder = encode.Encoder.of(f"{encode.TOKENIZER_DIR}/{encode.RANK_FILE}")
+    texts = [word, "x " + word[:4_001], word[:33], word[1:32], word[:49]]
+    assert encoder.encode(texts).to_pylist() == [library.encode_ordinary(t) for t in texts]
+    assert not Path(".tmp").exists()
+
+
 # 7: leaks
 
 
