@@ -146,9 +146,26 @@ def test_site_lines_by_brute_force(spark):
     assert sum(n for _, n in clean.values()) == len(want)
     shown = {r.template for r in site_lines.templates(frame).collect()}
     assert any("<*>" in t for t in shown)
+    # the same tree by hand: what stands under one leaf in five documents or more, and what its lines share
+    leaves = {}
+    for (site, letters), hits in seen.items():
+        cut = [letters[i : i + 6] for i in range(0, len(letters), 6)]
+        leaves.setdefault((site, len(letters), *cut[:3], letters[-6:]), []).append((cut, hits))
+    wide = sorted((leaf[0], len({d for _, h in held for *_, d in h}), sum(len(h) for _, h in held)) for leaf, held in leaves.items() if len({d for _, h in held for *_, d in h}) >= 5)
+    assert rows_of(site_lines.templates(frame), "source", "documents", "lines") == sorted(wide, key=repr)
     assert site_lines.repeated_lines(frame.limit(0)).count() == 0
 
 
+def test_templates_have_slots(spark):
+    rows = [(k, f"d{k}", "a", 0, "text", f"This notice of the registry in {town} {k} was filed by e-mail on request\nThis notice was written by {town} only") for k, town in enumerate(["Ostvale", "Brindle", "Quorvan", "Sauvell", "Ostvale", "Merrowi"])]
+    rows += [(9, "d9", "a", 0, "text", "THIS NOTICE of the registry in Ostvale was filed by email on request")]
+    frame = spark.createDataFrame(rows, BLOCKS)
+    got = {r.template: (r.documents, r.lines) for r in site_lines.templates(frame).collect()}
+    assert got["THIS NOTICE of the registry <*> <*> <*> <*> by email on request"] == (7, 7)
+    assert site_lines.repeated_lines(frame).count() == 0  # no letters agree in five documents
+    assert site_lines.shown("a1 bcd 2,500 efghij klm", ["abcdef", None, "m"]) == "a<*> bcd <*> <*> <*>"
+
+
 # 3: splitting
 
 
