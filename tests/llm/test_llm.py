@@ -337,6 +337,44 @@ def test_noise_and_paragraphs(spark):
     assert scan_noise.noise_found(frame.limit(0)).count() == 0 and scan_noise.paragraphs(frame.limit(0)).count() == 0
 
 
+def _long_tail(seed=5):
+    """Blocks over a vocabulary whose rare words hold far less than 1e-5 of all words, with misreadings of rare ones."""
+    rng = random.Random(seed)
+    rare = sorted({"".join(rng.choice("aeiou") + rng.choice("bdgklmnprstv") for _ in range(4)) + "ing" for _ in range(60)})
+    rows, wrong = [], {}
+    for k, word in enumerate(rare):
+        rows += [(1000 * k + j, "d", "s", 0, "text", f"The {BODY[4:].lower()} {word} plans of the margin") for j in range(25)]
+        bad = word.replace("m", "rn", 1) if "m" in word else word.replace("d", "cl", 1) if "d" in word else word.replace("i", "1", 1)
+        rows.append((1000 * k + 999, "d", "s", 0, "text", f"under the {bad} of the mar-\ngin agree- ments"))
+        wrong[1000 * k + 999] = word
+    filler = " ".join(["the committee reviewed the agreements"] * 5_000)
+    return rows + [(10**6 + k, "d", "s", 0, "text", filler) for k in range(120)], wrong
+
+
+def test_rare_words_are_repaired_both_ways(spark):
+    rows, wrong = _long_tail()
+    frame = spark.createDataFrame(rows, BLOCKS)
+    total = sum(len(r[5].split()) for r in rows)
+    assert 25 / total < 1e-5
+    got = rows_of(scan_noise.noise_found(frame), "block_key", "noise")
+    found = {k for k, noise in got if noise == "misread"}
+    assert len(found & set(wrong)) >= 0.9 * len(wrong) and not found - set(wrong)
+    text = rows_of(scan_noise.paragraphs(frame), "block_key", "paragraph_no", "text")
+    assert sum(wrong[k] in t for k, _, t in text if k in wrong) >= 0.9 * len(wrong)
+    old, scan_noise.BROADCAST_FORMS = scan_noise.BROADCAST_FORMS, 20
+    try:
+        assert rows_of(scan_noise.noise_found(frame), "block_key", "noise") == got
+        assert rows_of(scan_noise.paragraphs(frame), "block_key", "paragraph_no", "text") == text
+    finally:
+        scan_noise.BROADCAST_FORMS = old
+
+
+def test_strokes_as_a_column(spark):
+    forms = ["cornmittee", "mwduhbi1|et0589qz62", "", "straße"]
+    frame = spark.createDataFrame([(f,) for f in forms], "form string")
+    assert [r.s for r in frame.select(scan_noise._stroked(F.col("form")).alias("s")).collect()] == [scan_noise.skeleton(f) for f in forms]
+
+
 # 6: token ids
 
 
