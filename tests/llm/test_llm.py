@@ -111,6 +111,25 @@ def test_label_model_learns():
     assert pairs.fit({}) == {}
 
 
+def test_pieces_of_words_are_cuts():
+    stats = pairs.Statistics(words={"renew": 9, "renewal": 50}, pairs={("mandate", "renewal"): (5, 50), ("mandate", "renew"): (6, 6), ("to", "renew"): (1, 40), ("of", "N", ""): (0, 90)}, singles={"renew": (7, 46)})
+    assert stats.cut_short("mandate", "renew") and not stats.cut_short("to", "renew") and not stats.cut_short("mandate", "renewal")
+    assert stats.end_share("to", "renew", "?") == 1 / 40 and stats.end_share("of", "alverton", "N") == 0.0 and stats.end_share("x", "y", "?") is None
+
+
+def test_words_that_do_not_travel_are_asked_for(spark):
+    rows = [(k, QUESTION, None, f"Net revenues of Alverton rose because of higher word{chr(97 + k % 7)} in trade") for k in range(80)] + [(100, QUESTION, None, QUESTION), (101, QUESTION, None, "I'm sorry, but I cannot answer this."), (102, QUESTION, None, "The words rose because of zzq")]
+    frame = spark.createDataFrame(rows, RUNS)
+    want = rows_of(pairs.found(frame), "run_id", "defect")
+    assert (100, "copied_query") in want and (101, "refusal") in want
+    old, pairs.COMMON = pairs.COMMON, 4
+    try:
+        got = rows_of(pairs.found(frame), "run_id", "defect")
+    finally:
+        pairs.COMMON = old
+    assert [r for r in got if r[1] != "truncated"] == [r for r in want if r[1] != "truncated"]
+
+
 def test_pairs_edges(spark):
     rows = [(1, None, None, None), (2, "", "", ""), (None, None, "x", LONG), (2, "", "", "")]
     frame = spark.createDataFrame([(*r, "extra", "1") for r in rows], RUNS + ", votes string, defect string")
