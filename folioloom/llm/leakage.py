@@ -1,8 +1,12 @@
 """Problem 7: passages of held-out items inside a training corpus.
 
-The held-out side is small: its word n-grams become a hash set that travels with the scan of
-the corpus.  Every window of a text is hashed and looked up; hits are verified word by word and
-added up per item.  The corpus is read once and never shuffled.
+Word n-grams of the held-out items become a hash set that travels with the scan of the corpus.
+Every window of a text is hashed and looked up; hits are verified word by word and added up per
+item.  The corpus is read once and never shuffled.
+
+Where the items hold more than ``WORDS_PER_BLOCK`` words, no task and no driver holds them all: a
+bit map of fixed size travels instead, and only windows whose bit is set, with their words, meet
+the n-grams of the items in a join.  The corpus is still read once, and the results are the same.
 
 Words are runs of letters and digits after removal of markup, in NFKC and without case.  A copied
 passage is a run of at least ``RUN`` consecutive words of the item; a text leaks an item when its
@@ -15,6 +19,7 @@ and item appear once per row; further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import unicodedata
@@ -24,10 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioloom.sources.durable import written
+
 RUN = 8
 SHARE = 0.4
-#: Words of held-out text in one hash set (about 16 bytes each); more items are scanned in blocks.
+#: Words of held-out text in one hash set (about 16 bytes each); beyond that a bit map travels.
 WORDS_PER_BLOCK = 2_000_000
+#: The bit map has 2 ** MAP_BITS bits (16 MB).
+MAP_BITS = 27
 
 _WORD = re.compile(r"[^\W_]+")
 _MARKED = re.compile(r"[<&\\\[{]")
@@ -132,12 +141,74 @@ class ItemSet:
         return [{item: v for item, v in found.items() if len(v[0]) >= share * len(self.items[item][1])} for found in out]
 
 
-def _blocks(items: DataFrame, key: str, text: str) -> list[ItemSet]:
-    """The held-out items in sets of bounded size; the size is measured before anything is collected."""
-    rows = items.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
+def _rows(items: DataFrame, key: str, text: str) -> DataFrame:
+    return items.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
+
+
+def _block(rows: DataFrame) -> ItemSet | None:
+    """The held-out items as one set, or None where they are too many; measured before anything is collected."""
     words = rows.agg(F.sum(F.length("t") / 2)).first()[0] or 0  # no word is shorter than two characters with its gap
-    count = int(words // WORDS_PER_BLOCK) + 1
-    return [ItemSet([(r.k, r.t) for r in rows.where(F.pmod(F.xxhash64("k"), F.lit(count)) == n).collect()]) for n in range(count)]
+    return ItemSet([(r.k, r.t) for r in rows.collect()]) if words <= WORDS_PER_BLOCK else None
+
+
+_WORD_HASHES: dict[str, int] = {}
+
+
+def _grams(words: list[str]):
+    """A hash of every window of ``RUN`` words, the same in every worker."""
+    import numpy as np
+
+    if len(_WORD_HASHES) > 500_000:
+        _WORD_HASHES.clear()
+    for w in set(words).difference(_WORD_HASHES):
+        _WORD_HASHES[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "big") >> 2 | 1
+    return _hashes(np.array([_WORD_HASHES[w] for w in words], dtype=np.int64), RUN).view(np.int64)
+
+
+def _windows(frame: DataFrame, key: str, text: str, bits=None) -> DataFrame:
+    """(key, row, words, at, hash, gram) of the windows of each text; with ``bits`` only those whose bit is set."""
+    source = frame.select(F.col(key), F.col(text).cast("string").alias(text)).where(F.col(text).isNotNull()).withColumn("row", F.xxhash64(key, text))
+    kind = source.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            owner, sizes, at, hashes, grams = [], [], [], [], []
+            for i, value in enumerate(batch.column(1).to_pylist()):
+                words = words_of(value)
+                found = _grams(words)
+                places = np.arange(len(found))
+                if bits is not None and len(found):
+                    slot = found & ((1 << MAP_BITS) - 1)
+                    places = np.flatnonzero(bits.value[slot >> 3] & (1 << (slot & 7)).astype(np.uint8))
+                owner += [i] * len(places)
+                sizes += [len(words)] * len(places)
+                at += places.tolist()
+                hashes += found[places].tolist()
+                grams += [" ".join(words[p : p + RUN]) for p in places.tolist()]
+            where = pa.array(owner, pa.int64())
+            columns = [batch.column(0).take(where), batch.column(2).take(where), pa.array(sizes, pa.int32()), pa.array(at, pa.int32()), pa.array(hashes, pa.int64()), pa.array(grams, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "row", "words", "at", "hash", "gram"])
+
+    return source.mapInArrow(run, f"`{key}` {kind}, row bigint, words int, at int, hash bigint, gram string")
+
+
+def _joined(documents: DataFrame, rows: DataFrame, key: str, text: str, share: float) -> DataFrame:
+    """(key, row, item, item_words, covered, places): leaks by a join of windows, for any number of items."""
+    import numpy as np
+
+    held = written(_windows(rows, "k", "t"), "held")
+    slot = F.col("hash").bitwiseAND((1 << MAP_BITS) - 1)
+    octets = held.groupBy(F.shiftright(slot, 3).alias("octet")).agg(F.bit_or(F.expr("shiftleft(1, CAST(hash & 7 AS INT))")).alias("bits"))
+    bits = np.zeros(1 << (MAP_BITS - 3), dtype=np.uint8)
+    for r in octets.toLocalIterator():  # no more than the map has octets
+        bits[r.octet] = r.bits
+    near = _windows(documents, key, text, documents.sparkSession.sparkContext.broadcast(bits)).select(F.col(key).alias("d"), "row", F.col("at").alias("place"), "hash", "gram")
+    hits = near.join(held.select(F.col("k").alias("item"), F.col("words").alias("item_words"), "at", "hash", "gram"), ["hash", "gram"])
+    per = hits.groupBy("d", "row", "item", "item_words").agg(F.collect_set("at").alias("at"), F.collect_set("place").alias("places"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + RUN - 1)))))
+    return per.withColumn("covered", covered).where(F.col("covered") >= F.lit(share) * F.col("item_words")).select("d", "row", "item", "item_words", "covered", "places")
 
 
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "item_text", share: float = SHARE) -> DataFrame:
@@ -145,22 +216,24 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     source = documents.select(F.col(key), F.col(text).cast("string").alias(text)).where(F.col(text).isNotNull())
     kind = source.schema[key].dataType.simpleString()
     item_kind = items.schema[item_key].dataType.simpleString()
-    out = None
-    for block in _blocks(items, item_key, item_text):
-        shipped = documents.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            block = shipped.value
-            for batch in batches:
-                keys, found = batch.column(0).to_pylist(), block.scan(batch.column(1).to_pylist(), share)
-                rows = [(k, block.items[item][0], len(c), len(block.items[item][1])) for k, f in zip(keys, found) for item, (c, _) in f.items()]
-                columns = list(zip(*rows)) or [(), (), (), ()]
-                kinds = (batch.schema.field(0).type, None, pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k or pa.int64()) for c, k in zip(columns, kinds)], names=[key, item_key, "covered", "item_words"])
-
-        part = source.mapInArrow(run, f"`{key}` {kind}, `{item_key}` {item_kind}, covered int, item_words int")
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = _rows(items, item_key, item_text)
+    block = _block(rows)
+    if block is None:
+        found = written(_joined(documents, rows, key, text, share), "leaks")
+        each = source.select(F.col(key).alias("d"), F.xxhash64(key, text).alias("row"))
+        return each.join(found, ["d", "row"]).select(F.col("d").alias(key), F.col("item").alias(item_key), F.col("covered").cast("int").alias("covered"), "item_words")
+    shipped = documents.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shipped.value
+        for batch in batches:
+            keys, found = batch.column(0).to_pylist(), block.scan(batch.column(1).to_pylist(), share)
+            rows = [(k, block.items[item][0], len(c), len(block.items[item][1])) for k, f in zip(keys, found) for item, (c, _) in f.items()]
+            columns = list(zip(*rows)) or [(), (), (), ()]
+            kinds = (batch.schema.field(0).type, None, pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k or pa.int64()) for c, k in zip(columns, kinds)], names=[key, item_key, "covered", "item_words"])
+
+    return source.mapInArrow(run, f"`{key}` {kind}, `{item_key}` {item_kind}, covered int, item_words int")
 
 
 def without_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "item_text", share: float = SHARE) -> DataFrame:
@@ -169,7 +242,6 @@ def without_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", t
     A null text stays null.  Where markup or compatibility characters change the word count of a
     text, the passage is cut from the text without markup.
     """
-    blocks = [documents.sparkSession.sparkContext.broadcast(b) for b in _blocks(items, item_key, item_text)]
     source = documents.select(F.col(key), F.col(text).cast("string").alias(text))
     kind = source.schema[key].dataType.simpleString()
 
@@ -185,14 +257,22 @@ def without_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", t
             last = end
         return "".join([*keep, value[last:]])
 
+    rows = _rows(items, item_key, item_text)
+    block = _block(rows)
+    if block is None:
+        found = written(_joined(documents, rows, key, text, share), "leaks")
+        marked = found.groupBy("d", "row").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")).withColumnRenamed("d", "d_key")
+        mine = source.withColumn("row", F.xxhash64(key, text))
+        source = mine.join(marked, (mine[key] == marked["d_key"]) & (mine["row"] == marked["row"]), "left").select(mine[key], mine[text], "places")
+    shipped = documents.sparkSession.sparkContext.broadcast(block)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            places: list[set[int]] = [set() for _ in texts]
-            for block in blocks:
-                for mine, found in zip(places, block.value.scan(texts, share)):
-                    for _, where in found.values():
-                        mine |= where
+            if shipped.value is None:
+                places = [{q for p in starts or () for q in range(p, p + RUN)} for starts in batch.column(2).to_pylist()]
+            else:
+                places = [{p for _, where in found.values() for p in where} for found in shipped.value.scan(texts, share)]
             cleaned = [cut(t, p) if p else t for t, p in zip(texts, places)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cleaned, pa.string()), pa.array([len(p) for p in places], pa.int32())], names=[key, "text", "removed_words"])
 

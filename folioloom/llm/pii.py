@@ -26,6 +26,8 @@ from folioloom.sources.durable import written
 
 ROUNDS = 3
 CUTOFF = 0.5
+#: Share of an instance's occurrences that must be seeded to fix its score.
+LEAST_SEEDED = 0.005
 #: Scores that may travel to every task (some 50 bytes each); more are joined by an exchange.
 BROADCAST_ROWS = 200_000
 
@@ -188,9 +190,10 @@ def _edges(spans: DataFrame) -> DataFrame:
 
 def score(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Scores of instances and of patterns, between 0 and 1, after ``rounds`` rounds."""
-    edges = edges.withColumn("w", F.least("n", F.lit(5)))
-    # a seeded instance starts with the share of its seeds among what speaks for or against it
-    start = edges.groupBy("type", "instance").agg(F.sum("seeds").alias("s"), F.sum("against").alias("a")).select("type", "instance", F.when(F.col("s") >= 2, F.col("s") / (F.col("s") + F.col("a"))).when(F.col("a") > 0, F.lit(0.0)).alias("fixed"))
+    edges = edges.withColumn("w", F.log2(F.col("n") + 1))
+    # a seeded instance starts with the share of its seeds among what speaks for or against it;
+    # a few seeds among very many occurrences are chance
+    start = edges.groupBy("type", "instance").agg(F.sum("seeds").alias("s"), F.sum("against").alias("a"), F.sum("n").alias("all")).select("type", "instance", F.when((F.col("s") >= 2) & (F.col("s") >= LEAST_SEEDED * F.col("all")), F.col("s") / (F.col("s") + F.col("a"))).when(F.col("a") > 0, F.lit(0.0)).alias("fixed"))
     edges = written(edges.join(start, ["type", "instance"]).select("type", "instance", "pattern", "w", "fixed"), "edges")
     marks = edges.select("type", "instance", F.coalesce("fixed", F.lit(0.0)).alias("score")).distinct()
     patterns = None
@@ -254,7 +257,9 @@ def personal(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
 def masked(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, spans): every text with typed placeholders like ``[NAME]``; a null text stays null."""
     rows = documents.select(F.col(key), F.col(text).cast("string").alias(text)).withColumn("row", F.xxhash64(key, text))
-    joined = rows.join(accepted(documents, key, text).select(F.col("row"), F.col("spans")).dropDuplicates(["row"]), "row", "left").select(key, text, "spans")
+    # rows agree by key and hash; a null key is matched as well
+    held = accepted(documents, key, text).select(F.col(key).alias("span_key"), F.col("row").alias("span_row"), "spans")
+    joined = rows.join(held, F.col(key).eqNullSafe(F.col("span_key")) & (F.col("row") == F.col("span_row")), "left").select(key, text, "spans")
     kind = joined.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

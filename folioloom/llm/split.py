@@ -4,7 +4,7 @@ A text becomes a tree: document, sections under headings, blocks (paragraphs, li
 sentences, clauses, words.  Siblings are merged from the left while they fit under the limit; only
 a node that is larger than the limit by itself is opened and its children are merged in the same
 way.  A new piece first repeats the last ``overlap`` whole sentences of the piece before it, as
-many of them as fit beside its first new node.  Sentences are those of the sentence table where
+many of them as fit beside its first new sentence; a node that doesn't fit beside them is opened.  Sentences are those of the sentence table where
 the text still agrees with them; elsewhere they end at a closing sign.
 
 Each piece is a slice of the original text, so the new parts of all pieces put together give the
@@ -167,7 +167,7 @@ def pieces_of(text: str, limit: int | None, overlap: int, known: list[tuple[int,
 
     def flush() -> None:
         nonlocal open_piece
-        if open_piece:
+        if open_piece and open_piece[2] > open_piece[1]:
             done.append(tuple(open_piece))
         open_piece = None
 
@@ -183,7 +183,16 @@ def pieces_of(text: str, limit: int | None, overlap: int, known: list[tuple[int,
             open_piece[2] = node.last
         elif node.words <= limit:
             flush()
-            open_piece = [repeated(node.first, limit - node.words), node.first, node.last]
+            head = node
+            while head.children and not head.whole:
+                head = head.children[0]
+            start = repeated(node.first, limit - head.words)
+            if node.last - start > limit:  # what is repeated fits beside the first sentence, not beside the whole node
+                open_piece = [start, node.first, node.first]
+                for child in node.children:
+                    place(child)
+                return
+            open_piece = [start, node.first, node.last]
         else:
             flush()
             if not node.children:
@@ -220,8 +229,8 @@ def split_chunks(chunks: DataFrame, sentences: DataFrame, configs: DataFrame) ->
     base = chunks.where(F.col("text").isNotNull()).select("chunk_key", "document_id", "config_id", "sentence_ids", "text", F.xxhash64("chunk_key", "document_id", "sentence_ids").alias("nr"))
     wanted = base.select("nr", "document_id", F.explode("sentence_ids").alias("sentence_id")).distinct()
     rows = sentences.where(F.col("text").isNotNull()).groupBy("document_id", "sentence_id").agg(F.min("text").alias("sentence"))
-    held = wanted.join(rows, ["document_id", "sentence_id"]).groupBy("nr").agg(F.array_sort(F.collect_list(F.struct("sentence_id", "sentence"))).alias("known"))
-    ready = base.join(limits, "config_id", "left").join(held, "nr", "left")
+    held = wanted.join(rows, ["document_id", "sentence_id"]).groupBy("document_id", "nr").agg(F.array_sort(F.collect_list(F.struct("sentence_id", "sentence"))).alias("known"))
+    ready = base.join(limits, "config_id", "left").join(held, ["document_id", "nr"], "left")
     kind = chunks.schema["chunk_key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

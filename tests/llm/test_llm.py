@@ -192,8 +192,11 @@ def test_pieces(spark):
     s = {1: "One two three.", 2: "Four five six seven.", 3: "Eight nine.", 4: "Ten eleven twelve."}
     text = "One two three. Four five six seven.\nEight nine. Ten eleven twelve."
     cuts = split.pieces_of(text, 7, 1, list(s.items()))
-    # the second piece cannot repeat four words beside its own, the third repeats the one before it
-    assert [(text[a:e].strip(), ids) for a, _, e, ids in cuts] == [("One two three. Four five six seven.", [1, 2]), ("Eight nine. Ten eleven twelve.", [3, 4])]
+    # what is repeated fits beside the first new sentence, so the second line is opened
+    assert [(text[a:e].strip(), ids) for a, _, e, ids in cuts] == [("One two three. Four five six seven.", [1, 2]), ("Four five six seven.\nEight nine.", [2, 3]), ("Eight nine. Ten eleven twelve.", [3, 4])]
+    cuts = split.pieces_of(text, 5, 1, list(s.items()))
+    # four words don't fit beside two
+    assert [ids for *_, ids in cuts] == [[1], [2], [3, 4]]
     cuts = split.pieces_of(text, 9, 1, list(s.items()))
     assert [(text[a:e].strip(), ids) for a, _, e, ids in cuts] == [("One two three. Four five six seven.", [1, 2]), ("Four five six seven.\nEight nine. Ten eleven twelve.", [2, 3, 4])]
 
@@ -466,11 +469,14 @@ def test_leaks_by_brute_force(spark):
     again = spark.createDataFrame([(r.doc_id, r.text) for r in cleaned], "doc_id bigint, text string")
     assert leakage.leaks(again, held).count() == 0
     assert leakage.leaks(frame, held.limit(0)).count() == 0 and leakage.leaks(frame.limit(0), held).count() == 0
-    old, leakage.WORDS_PER_BLOCK = leakage.WORDS_PER_BLOCK, 60
+    full = rows_of(leakage.leaks(frame, held), "doc_id", "item_id", "covered", "item_words")
+    old, leakage.WORDS_PER_BLOCK, leakage.MAP_BITS = (leakage.WORDS_PER_BLOCK, leakage.MAP_BITS), 60, 12
     try:
-        assert rows_of(leakage.leaks(frame, held), "doc_id", "item_id") == sorted(want, key=repr)
+        assert rows_of(leakage.leaks(frame, held), "doc_id", "item_id", "covered", "item_words") == full
+        assert rows_of(leakage.without_leaks(frame, held), "doc_id", "text", "removed_words") == sorted([tuple(r) for r in cleaned], key=repr)
+        assert leakage.leaks(frame.limit(0), held).count() == 0
     finally:
-        leakage.WORDS_PER_BLOCK = old
+        leakage.WORDS_PER_BLOCK, leakage.MAP_BITS = old
 
 
 # 8: personal information
@@ -507,6 +513,14 @@ def test_personal_information(spark):
     masked = {r.doc_id: r.text for r in pii.masked(frame).collect()}
     assert masked[0] == "Ms. [NAME] ([ID_NUMBER]) signed." and masked[506] is None and masked[507] == "" and masked[500] == special[500]
     assert pii.masked(frame).count() == len(rows)
+    old, pii.BROADCAST_ROWS = pii.BROADCAST_ROWS, -1
+    try:
+        assert {(r.doc_id, r.pii_type, r.pii_value) for r in pii.personal(frame).collect()} == {(k, *v) for k, values in got.items() for v in values}
+    finally:
+        pii.BROADCAST_ROWS = old
+    # rows are told apart by key and hash: the same text under another key has its own spans
+    twice = frame.where("doc_id = 0").unionByName(frame.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("bigint"))).unionByName(frame.where("doc_id <> 0"))
+    assert [r.text for r in pii.masked(twice).where("doc_id IS NULL").collect()] == [masked[0]]
     assert pii.personal(frame.limit(0)).count() == 0
 
 
