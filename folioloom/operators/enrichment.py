@@ -12,8 +12,8 @@ from folioloom.operators.ordered import numbered
 from folioloom.providers import DryVision, Vision
 from folioloom.sources.durable import written
 
-# fixed value: the form of a record in model output
-_FIELD = r"(?ms)^\s*\[F\]\s*(.*?)\s*^\s*\[T\]\s*(.*?)\s*^\s*\[M\]\s*(.*?)\s*^\s*\[C\]\s*(.*?)(?=^\s*\[F\]|\z)"
+# fixed values: the marks at line starts before a record's file name, title, metadata and content
+MARKS = ("F", "T", "M", "C")
 
 
 def field(value: Column) -> Column:
@@ -29,13 +29,20 @@ def dry_run(filenames: Column) -> Column:
 def parse(outputs: DataFrame, *keys: str) -> DataFrame:
     """(keys, position, filename, title, metadata, content, status) of every record in ``output``.
 
+    A record that lacks a mark, or has them in another order, is left out.
+
     With a column ``expected`` the status is ``unexpected`` for other names; a name seen before is a
     ``duplicate``; the rest are ``item``.  Records without a name are left out.
     """
-    parts = [F.regexp_extract_all("output", F.lit(_FIELD), F.lit(i)) for i in range(1, 5)]
-    zipped = F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("f", "t", "m", "c"))])
-    rows = outputs.select(*keys, "expected", F.posexplode(zipped).alias("position", "r"))
-    named = rows.select(*keys, "expected", "position", field(F.col("r")["f"]).alias("filename"), field(F.col("r")["t"]).alias("title"), field(F.col("r")["m"]).alias("metadata"), field(F.col("r")["c"]).alias("content")).where("filename <> ''")
+    marked = [rf"(?m)^\s*\[{m}\]" for m in MARKS]
+    # records begin at the first mark; the others cut them one after the other
+    records = F.filter(F.slice(F.split("output", marked[0]), 2, 1 << 30), lambda r: F.forall(F.array(*[F.lit(m) for m in marked[1:]]), lambda m: F.regexp_like(r, m)))
+    rows = outputs.select(*keys, "expected", F.posexplode(records).alias("position", "rest"))
+    for name, mark in zip(("filename", "title", "metadata"), marked[1:]):
+        cut = F.split("rest", mark, 2)
+        rows = rows.withColumn(name, field(cut[0])).withColumn("rest", F.get(cut, F.lit(1)))
+    # a mark that stands before its turn leaves nothing behind it
+    named = rows.where("rest IS NOT NULL").withColumn("content", field(F.col("rest"))).where("filename <> ''")
     wanted = F.coalesce(F.size("expected"), F.lit(0)) <= 0
     known = wanted | F.array_contains("expected", F.col("filename"))
     seen = F.row_number().over(Window.partitionBy(*keys, "filename").orderBy("position"))

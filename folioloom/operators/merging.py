@@ -10,6 +10,7 @@ and not the square of the chunks.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import cached_property
@@ -28,7 +29,11 @@ BATCH = 1024
 
 @dataclass(frozen=True)
 class Settings:
-    """Limits of the merge steps, checked when made."""
+    """Limits of the merge steps, checked when made.
+
+    ``most_words`` is the limit of a merged chunk: the embedding limit of the configuration, else
+    its token limit.
+    """
 
     small_sentences: int = 1
     small_words: int = 20
@@ -67,7 +72,8 @@ class Merger:
         self.sentences, self.settings, self.embedder = words, settings, embedder
         self.lengths = {i: len(x.split()) for i, x in words.items()}
         self.events: list[dict] = []
-        self.made = 0
+        # new chunks go on behind the ones there are
+        self.made = max([len(self.pieces), *(int(n) for p in self.pieces if (n := p.key.removeprefix("chunk_")).isdigit() and n != p.key)])
 
     def text(self, ids: tuple[int, ...]) -> str:
         return " ".join(self.sentences[i] for i in ids if i in self.sentences)
@@ -80,7 +86,7 @@ class Merger:
 
     def join(self, a: _Piece, b: _Piece, phase: str, score: float) -> _Piece:
         self.made += 1
-        both = _Piece(f"merged_{self.made:06d}", tuple(sorted({*a.ids, *b.ids})), tuple(sorted({*a.pages, *b.pages})), tuple(sorted({*a.sources, *b.sources})))
+        both = _Piece(f"chunk_{self.made:06d}", tuple(sorted({*a.ids, *b.ids})), tuple(sorted({*a.pages, *b.pages})), tuple(sorted({*a.sources, *b.sources})))
         self.events.append({"phase": phase, "merged": both.key, "first": a.key, "second": b.key, "score": score})
         return both
 
@@ -134,14 +140,17 @@ class Merger:
             self.events.append({"phase": phase, "merged": q.key, "first": q.key, "second": p.key, "score": 1.0})
         self.pieces = [p for p in self.pieces if p not in target]
 
-    def merge_best(self, phase: str, near, ranks, most: int | None = None, added=None) -> None:
+    def merge_best(self, phase: str, near, ranks, most: int | None = None, added=None, blocker=None) -> None:
         """The best pair merges, again and again, at most ``most`` times.
 
         ``near`` gives the keys under which a piece is kept and those under which its neighbours
         are found; ``ranks`` the (rank, score, piece) of the neighbours that may merge with a piece,
-        the least rank first; equal ranks go by the order of the pieces.
+        the least rank first; equal ranks go by the order of the pieces.  A pair for which
+        ``blocker`` names a piece waits until that piece is gone.
         """
         alive = dict.fromkeys(self.pieces)
+        ordered = [(p.order, p) for p in self.pieces]
+        held_back: dict[_Piece, list] = {}
         kept: dict = {}
         waiting: list = []
         made = 0
@@ -160,15 +169,22 @@ class Merger:
         for p in self.pieces:
             offer(p)
         while waiting and (most is None or most > 0):
-            _, _, _, _, score, a, b = heappop(waiting)
+            entry = heappop(waiting)
+            score, a, b = entry[4:]
             if a not in alive or b not in alive or not self.fits(a, b):
                 continue
+            if blocker and (between := blocker(ordered, a, b)):
+                held_back.setdefault(between, []).append(entry)
+                continue
             both = self.join(a, b, phase, score)
             for x in (a, b):
-                del alive[x]
+                del alive[x], ordered[bisect_left(ordered, x.order, key=lambda o: o[0])]
                 for k in near(x)[0]:
                     del kept[k][x]
+                for entry in held_back.pop(x, ()):
+                    heappush(waiting, entry)
             alive[both] = None
+            insort(ordered, (both.order, both), key=lambda o: o[0])
             if added:
                 added(both, a, b)
             offer(both)
@@ -214,7 +230,20 @@ class Merger:
             del vectors[a], vectors[b]
             vectors[both] = np.array(self.embedder.encode([self.text(both.ids)]))[0]
 
-        self.merge_best("embedding_greedy_merge", near, ranks, budget, added)
+        def blocker(ordered: list, a: _Piece, b: _Piece) -> _Piece | None:
+            # behind the first piece that is far in sentences and pages nothing is looked at
+            end = a.ids[-1] + gap
+            if b.ids[0] <= end:
+                return None
+            for at in range(bisect_left(ordered, (end + 1,), key=lambda o: o[0]), len(ordered)):
+                c = ordered[at][1]
+                if c is b:
+                    return None
+                if not any(abs(p - q) <= 1 for p in a.pages for q in c.pages):
+                    return c
+            return None
+
+        self.merge_best("embedding_greedy_merge", near, ranks, budget, added, blocker)
 
     def run(self) -> None:
         if len(self.pieces) < 2:

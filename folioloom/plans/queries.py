@@ -350,7 +350,13 @@ def provenance_union(spark, d):
 
 
 def _merged(spark, d):
-    return merging.merge(_chunks(spark, d), _sentences(spark, d), merging.Settings(similarity=0.5))
+    """Chunks, sliding windows and short single sentences of the same filings, so that every phase has work."""
+    held = _chunks(spark, d).select("document_id", "chunk_id", "ids", "page_span")
+    s = _sentences(spark, d)
+    none = F.lit(None).cast("array<int>").alias("page_span")
+    slid = sentences.windows(s).select("document_id", F.concat(F.lit("w"), "block_id").alias("chunk_id"), F.col("sentence_ids").alias("ids"), none)
+    short = s.where(F.size(text.short_answer_reasons(F.col("text"))) > 0).select("document_id", F.concat(F.lit("s"), "sentence_id").alias("chunk_id"), F.array("sentence_id").alias("ids"), none)
+    return merging.merge(held.unionByName(slid).unionByName(short), s, merging.Settings(similarity=0.5))
 
 
 @query

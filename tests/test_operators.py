@@ -2,7 +2,9 @@
 
 import json
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -182,10 +184,117 @@ def test_large_filing_merges_whole(spark):
     s = spark.createDataFrame([("d", k, said.get(k, f"{name(k, chr(107))} {name(k, chr(108))} {name(k, chr(109))}"), k) for k in range(n)], "document_id string, sentence_id bigint, text string, page int")
     got = merging.merge(spark.createDataFrame(rows, CHUNKS), s, merging.Settings(budget=0.0005)).collect()
     assert [(r.phase, r.first, r.second) for r in sorted((r for r in got if r.kind == "event"), key=lambda r: r.seq)] == [
-        ("short_previous_repair", "chunk_001999", "chunk_002000"), ("containment_cleanup", "chunk_009999", "chunk_001997"), ("embedding_greedy_merge", "merged_000001", "chunk_002001")]
+        ("short_previous_repair", "chunk_001999", "chunk_002000"), ("containment_cleanup", "chunk_009999", "chunk_001997"), ("embedding_greedy_merge", "chunk_010000", "chunk_002001")]
     assert [1999, 2000, 2001] in [r.ids for r in got if r.kind == "chunk"] and len({r.segment for r in got}) == 1
 
 
+class _Letters:
+    """Vectors with few different values, so that scores tie and are exact."""
+
+    name, dimension = "letters", 8
+
+    def encode(self, texts):
+        return [[float(1 + t.count(c) % 2) / 4 for c in "abcdefgh"] for t in texts]
+
+
+def _merged_by_hand(pieces, words, s, model):
+    """The merge steps word for word: all pairs, again after every step."""
+    order = lambda p: (p["ids"][0], p["ids"][-1], len(p["ids"]), re.sub(r"\d+$", "", p["key"]), int((re.findall(r"\d+$", p["key"]) or [-1])[0]), p["key"])
+    size = lambda ids: sum(len(words.get(i, "").split()) for i in ids)
+    both = lambda a, b: sorted({*a["ids"], *b["ids"]})
+    gap = lambda a, b: min(abs(x - y) for x in a for y in b) if a and b else 10**9
+    vector = lambda p: np.array(model.encode([" ".join(words[i] for i in p["ids"] if i in words)])[0])
+    held, events, number, budget = sorted(pieces, key=order), [], len(pieces), int(len(pieces) * s.budget)
+    if len(held) < 2:
+        return held, events
+
+    def join(a, b, phase):
+        nonlocal held, number
+        number += 1
+        new = {"key": f"chunk_{number:06d}", "ids": both(a, b), "pages": sorted({*a["pages"], *b["pages"]}), "sources": sorted({*a["sources"], *b["sources"]}), "short": False}
+        held = sorted([p for p in held if p is not a and p is not b] + [new], key=order)
+        events.append((phase, new["key"], a["key"], b["key"]))
+
+    def clean(phase):
+        nonlocal held
+        while True:
+            for small in reversed(held):
+                over = [p for p in held if p is not small and set(small["ids"]) <= set(p["ids"]) and (len(p["ids"]) > len(small["ids"]) or order(p) < order(small))]
+                if over:
+                    target = min(over, key=lambda p: (-len(p["ids"]), order(p)))
+                    target["sources"] = sorted({*target["sources"], *small["sources"]})
+                    held = [p for p in held if p is not small]
+                    events.append((phase, target["key"], target["key"], small["key"]))
+                    break
+            else:
+                return
+
+    while True:
+        for p in held:
+            before = [q for q in held if q is not p and q["ids"][-1] + 1 == p["ids"][0]]
+            if len(p["ids"]) == 1 and p["short"] and size(p["ids"]) <= s.small_words and before:
+                q = min(before, key=lambda x: (-len(x["ids"]), x["ids"][0], order(x)))
+                if size(both(q, p)) <= s.most_words:
+                    join(q, p, "short_previous_repair")
+                    break
+        else:
+            break
+    clean("containment_cleanup")
+    while True:
+        found = []
+        for n, a in enumerate(held):
+            for m in range(n + 1, len(held)):
+                ratio = len({*a["ids"]} & {*held[m]["ids"]}) / min(len(a["ids"]), len(held[m]["ids"]))
+                if ratio >= s.overlap and size(both(a, held[m])) <= s.most_words:
+                    found.append((-ratio, size(both(a, held[m])), n, m))
+        if not found:
+            break
+        _, _, n, m = min(found)
+        join(held[n], held[m], "high_overlap_merge")
+    while len(held) > 1 and sum(e[0] == "embedding_greedy_merge" for e in events) < budget:
+        best = None
+        for n, a in enumerate(held):
+            for m in range(n + 1, len(held)):
+                b = held[m]
+                pages = gap(a["pages"], b["pages"]) <= 1
+                if b["ids"][0] - a["ids"][-1] > s.most_gap and not pages:
+                    break
+                score = float(vector(a) @ vector(b))
+                if (pages or gap(a["ids"], b["ids"]) <= s.most_gap) and score > s.similarity and size(both(a, b)) <= s.most_words and (best is None or score > best[0]):
+                    best = (score, a, b)
+        if best is None:
+            break
+        join(best[1], best[2], "embedding_greedy_merge")
+    clean("final_containment_cleanup")
+    return held, events
+
+
+def test_merging_by_hand():
+    """All five phases over filings whose pages jump back and forth, against the steps taken word for word."""
+    phases = set()
+    for seed in range(60):
+        rng = random.Random(seed)
+        n = rng.randrange(4, 40)
+        words = {i: "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(1, 9))) or "a" for i in range(n + 6)}
+        s = merging.Settings(similarity=rng.choice([0.3, 0.6, 0.9]), budget=rng.choice([0.4, 0.8]), most_words=rng.choice([9, 20, 60]), overlap=rng.choice([0.5, 0.8]))
+        pieces = []
+        for k in range(rng.randrange(1, 30)):
+            start = rng.randrange(n)
+            ids = sorted({start, *(start + rng.randrange(6) for _ in range(rng.randrange(5)))})
+            pieces.append({"key": f"chunk_{k + 1:06d}", "ids": ids, "pages": sorted({rng.randrange(5) for _ in range(rng.randrange(3))}), "sources": [f"chunk_{k + 1:06d}"], "short": len(ids) == 1 and rng.random() < 0.5})
+        model = _Letters()
+        own = [merging._Piece(p["key"], tuple(p["ids"]), tuple(p["pages"]), tuple(p["sources"]), ("numeric_like",) if p["short"] else ()) for p in pieces]
+        merger = merging.Merger(own, words, s, model)
+        merger.run()
+        held, events = _merged_by_hand(pieces, words, s, model)
+        assert [(p.key, list(p.ids), list(p.sources)) for p in merger.pieces] == [(p["key"], p["ids"], p["sources"]) for p in held], seed
+        # what is cleaned away may be told in another order
+        told = [(e["phase"], e["merged"], e["first"], e["second"]) for e in merger.events]
+        assert sorted(told) == sorted(events) and [e for e in told if "cleanup" not in e[0]] == [e for e in events if "cleanup" not in e[0]]
+        phases |= {e[0] for e in events}
+    assert phases == {"short_previous_repair", "containment_cleanup", "high_overlap_merge", "embedding_greedy_merge", "final_containment_cleanup"}
+
+
 def test_merge_settings_are_checked():
     with pytest.raises(ValueError):
         merging.Settings(overlap=2)
