@@ -28,13 +28,15 @@ def assets_of(blocks: DataFrame, kind: str = "table") -> DataFrame:
     return numbered(kinds, ["document_id"], F.col("page_index"), [F.col("page_index"), *reading_key()], "asset_index", width=256).withColumn("asset_index", F.col("asset_index").cast("int"))
 
 
-def nearest_title(assets: DataFrame, blocks: DataFrame, most_distance: float | None = 160.0, least_overlap: float = 0.15) -> DataFrame:
+def nearest_title(assets: DataFrame, blocks: DataFrame, most_distance: float | None = 160.0, least_overlap: float = 0.15, title_labels: Iterable[str] = ()) -> DataFrame:
     """Every asset with the title of its page that stands nearest: above before below.
 
+    A title has a title's label, one of ``title_labels``, or a key that says so (``has_title``).
     Candidates share the page and overlap horizontally.  The nearest wins; among equals the one
     whose edge is closer to the asset, then the earlier block.  An untitled asset stays with nulls.
     """
-    titles = blocks.where(is_title(F.col("label")) & F.col("box").isNotNull()).select("document_id", "page_index", F.col("block_key").alias("title_key"), F.col("content").alias("title"), F.col("label").alias("title_label"), F.col("box").alias("title_box"))
+    told = F.col("has_title") if "has_title" in blocks.columns else F.lit(False)
+    titles = blocks.where((is_title(F.col("label"), title_labels) | told) & F.col("box").isNotNull()).select("document_id", "page_index", F.col("block_key").alias("title_key"), F.col("content").alias("title"), F.col("label").alias("title_label"), F.col("box").alias("title_box"))
     pairs = assets.select("block_key", "document_id", "page_index", "box").join(titles, ["document_id", "page_index"]).where(F.col("block_key") != F.col("title_key"))
     middle = lambda b: (F.col(f"{b}.y1") + F.col(f"{b}.y2")) / 2
     above, below = middle("title_box") < middle("box"), middle("title_box") > middle("box")
@@ -43,8 +45,8 @@ def nearest_title(assets: DataFrame, blocks: DataFrame, most_distance: float | N
     if most_distance is not None:
         near = near.where(F.col("distance") <= most_distance)
     edge = F.when(F.col("side") == 0, -F.col("title_box.y2")).otherwise(F.col("title_box.y1"))
-    best = near.groupBy("block_key").agg(F.min_by(F.struct("title_key", "title", "title_label", "title_box", "distance"), F.struct("side", "distance", edge.alias("edge"), "title_key")).alias("t"))
-    return assets.join(best.select("block_key", "t.*"), "block_key", "left")
+    best = near.groupBy("document_id", "block_key").agg(F.min_by(F.struct("title_key", "title", "title_label", "title_box", "distance"), F.struct("side", "distance", edge.alias("edge"), "title_key")).alias("t"))
+    return assets.join(best.select("document_id", "block_key", "t.*"), ["document_id", "block_key"], "left")
 
 
 def crops(titled: DataFrame, pages: DataFrame, padding: float = 8.0) -> DataFrame:

@@ -16,13 +16,14 @@ LAST = 1_000_000
 
 
 def fields(blocks: DataFrame) -> DataFrame:
-    """Every block with its normalised label, content and box; a filing-wide block id is optional."""
+    """Every block with its normalised label, content and box; a filing-wide block id and ``has_title`` are optional."""
+    titled = [F.coalesce("has_title", F.lit(False)).alias("has_title")] if "has_title" in blocks.columns else []
     wide = F.col("global_block_id") if "global_block_id" in blocks.columns else F.lit(None)
     return blocks.select(
         "block_key", "document_id", "page_index", "block_id", "block_order", wide.cast("bigint").alias("global_block_id"),
         text.label(F.col("block_label")).alias("label"),
         F.coalesce(text.trimmed_lines(text.unescape(F.col("block_content"))), F.lit("")).alias("content"),
-        geometry.box(F.col("block_bbox")).alias("box"),
+        geometry.box(F.col("block_bbox")).alias("box"), *titled,
     )
 
 

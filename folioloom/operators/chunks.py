@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioloom.functions import arrays, text
 from folioloom.operators.ordered import numbered, with_next
+from folioloom.sources.durable import written
 
 
 def current(chunks: DataFrame) -> DataFrame:
@@ -53,17 +54,21 @@ def contained(chunks: DataFrame) -> DataFrame:
     Among equal sets the smaller key stays.  The target is the largest holder, then the smallest
     key; it always stays itself, so one pass gives what repeated removal would.
     """
-    size = chunks.select("chunk_key", F.size("ids").alias("n"))
-    pairs = _sharing(chunks)
-    both = pairs.select("document_id", F.col("a").alias("small"), F.col("b").alias("large"), "shared").unionByName(pairs.select("document_id", F.col("b").alias("small"), F.col("a").alias("large"), "shared"))
-    sized = both.join(size.select(F.col("chunk_key").alias("small"), F.col("n").alias("ns")), "small").join(size.select(F.col("chunk_key").alias("large"), F.col("n").alias("nl")), "large")
-    held = sized.where((F.col("shared") == F.col("ns")) & ((F.col("nl") > F.col("ns")) | ((F.col("nl") == F.col("ns")) & (F.col("large") < F.col("small")))))
+    ids = chunks.select("document_id", "chunk_key", F.explode("ids").alias("sentence_id"))
+    holders = ids.groupBy("document_id", "sentence_id").agg(F.count("*").alias("holders"))
+    # whoever holds all sentences of a chunk holds its rarest, so only the holders of that are looked at
+    rarest = ids.join(holders, ["document_id", "sentence_id"]).groupBy("document_id", "chunk_key").agg(F.min_by("sentence_id", F.struct("holders", "sentence_id")).alias("sentence_id"))
+    sized = chunks.select("document_id", "chunk_key", "ids", F.size("ids").alias("n"))
+    small = sized.join(rarest, ["document_id", "chunk_key"]).select("document_id", "sentence_id", F.col("chunk_key").alias("small"), F.col("ids").alias("small_ids"), F.col("n").alias("ns"))
+    large = sized.select("document_id", F.explode("ids").alias("sentence_id"), F.col("chunk_key").alias("large"), F.col("ids").alias("large_ids"), F.col("n").alias("nl"))
+    pairs = small.join(large, ["document_id", "sentence_id"]).where((F.col("nl") > F.col("ns")) | ((F.col("nl") == F.col("ns")) & (F.col("large") < F.col("small"))))
+    held = pairs.where(F.size(F.array_except("small_ids", "large_ids")) == 0)
     return held.groupBy("document_id", "small").agg(F.min_by("large", F.struct(-F.col("nl"), F.col("large"))).alias("target_key")).select("document_id", F.col("small").alias("chunk_key"), "target_key")
 
 
 def cleaned(chunks: DataFrame) -> DataFrame:
     """(document_id, chunk_key, ids, absorbed): chunks that stay, with the ids of the chunks they absorbed."""
-    gone = contained(chunks)
+    gone = written(contained(chunks), "contained")
     names = chunks.select("chunk_key", "chunk_id")
     taken = gone.join(names, "chunk_key").groupBy(F.col("target_key").alias("chunk_key")).agg(F.array_sort(F.collect_set("chunk_id")).alias("absorbed"))
     stay = chunks.join(gone.select("chunk_key"), "chunk_key", "left_anti").join(taken, "chunk_key", "left")

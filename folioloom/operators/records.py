@@ -61,8 +61,11 @@ def embedding_text(modality: Column, title: Column, content: Column) -> Column:
 
 
 def write_index(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Records with vectors as Parquet by document and modality, for partition pruning."""
-    records.repartition("document_id", "modality").write.mode(mode).partitionBy("document_id", "modality").parquet(path)
+    """Records with vectors as Parquet by document and modality, for partition pruning.
+
+    Small partitions are put together and a large document is split over several files and tasks.
+    """
+    records.hint("rebalance", "document_id", "modality").write.mode(mode).partitionBy("document_id", "modality").parquet(path)
 
 
 def manifest_stats(records: DataFrame) -> DataFrame:

@@ -482,6 +482,15 @@ def retrieve_mode(spark, d):
     return _retrieved(spark, d)
 
 
+@query
+def retrieve_by_document(spark, d):
+    """Every query searches the records of its own document; a document is made of every fifth label."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("doc_"), F.col("label") % 5).alias("document_id"))
+    r, q = _vectors(spark, d)
+    r, q = r.join(rows, "vec_id"), q.join(rows.withColumnRenamed("vec_id", "query_id"), "query_id")
+    return vectors.retrieve(vectors.topk(r, q, within=True), q, THRESHOLDS)
+
+
 @query
 def retrieve_trace(spark, d):
     return vectors.trace(_retrieved(spark, d))

@@ -154,8 +154,9 @@ hits AS (
 )"""
 
 
-def _retrieved(limit: float | str) -> str:
-    return f"""{_VECTORS}, marked AS (SELECT *, score >= ({limit})::DOUBLE AS passed FROM hits),
+def _retrieved(limit: float | str, within: bool = False) -> str:
+    source = _VECTORS.replace("FROM asked q, records r", "FROM asked q JOIN records r ON q.label % 5 = r.label % 5").replace("embedding FROM", "embedding, label FROM") if within else _VECTORS
+    return f"""{source}, marked AS (SELECT *, score >= ({limit})::DOUBLE AS passed FROM hits),
 modes AS (
     SELECT q.query_id, CASE WHEN count(*) FILTER (passed AND modality = 'text') >= 6 THEN 'text_only'
         WHEN count(*) FILTER (passed) = 0 AND count(m.vec_id) > 0 THEN 'raw_fallback' ELSE 'multimodal' END AS mode
@@ -338,7 +339,8 @@ SQL: dict[str, str] = {
     "vec_all_modalities": f"WITH {_VECTORS} SELECT query_id, list(vec_id ORDER BY rank) FILTER (modality = 'text') AS text, list(vec_id ORDER BY rank) FILTER (modality = 'table') AS \"table\", list(vec_id ORDER BY rank) FILTER (modality = 'image') AS image FROM hits GROUP BY 1",
     "retrieve_mode": f"WITH {_retrieved(0.2)} SELECT * FROM retrieved",
     "retrieve_trace": f"""WITH {_retrieved(0.2)} SELECT query_id, mode, count(*) FILTER (modality = 'text') AS texts, count(*) FILTER (modality = 'table') AS tables, count(*) FILTER (modality = 'image') AS images, count(vec_id) AS total,
-        count(*) FILTER (passed = false) AS below, mode <> 'text_only' AS fallback_triggered FROM retrieved GROUP BY 1, 2""",
+        count(*) FILTER (passed = false) AS below, mode <> 'text_only' AS fallback_triggered, mode = 'raw_fallback' AS threshold_fallback FROM retrieved GROUP BY 1, 2""",
+    "retrieve_by_document": f"WITH {_retrieved(0.2, True)} SELECT * FROM retrieved",
     "retrieve_multimodal": f"WITH {_retrieved("CASE modality WHEN 'text' THEN 0.3 ELSE 0.2 END")} SELECT * FROM retrieved",
     "raw_fallback": f"WITH {_retrieved(1.5)} SELECT * FROM retrieved",
     "context_normalize": f"WITH {_contexts()} SELECT query_id, modality, vec_id, summary FROM contexts",
