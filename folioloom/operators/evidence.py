@@ -12,6 +12,8 @@ PREFIX = {"text": "E", "table": "T", "image": "I"}
 # fixed values: montage profiles
 TABLE_LAYOUT = {"layout": "vertical", "width": 1400, "columns": 1}
 IMAGE_LAYOUT = {"layout": "grid", "width": 900, "columns": 2}
+# fixed values: kinds of image files
+MIME = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp", "gif": "image/gif", "bmp": "image/bmp"}
 PIXELS = (200_704, 1_003_520)
 TEMPLATE = "Question: {query}\n\nText evidence:\n{text_evidence}\n\nTable evidence:\n{table_evidence}\n\nImage evidence:\n{image_evidence}"
 
@@ -85,6 +87,30 @@ def packages(queries: DataFrame, contexts: DataFrame) -> DataFrame:
     return joined.select("query_id", "query", *sizes, F.to_json(F.struct("query_id", "query", F.struct(*PREFIX).alias("contexts_by_modality"))).alias("package"))
 
 
+def montage_sources(contexts: DataFrame, files: DataFrame) -> DataFrame:
+    """Table and image contexts whose crop is among the files that are there (``path``)."""
+    return contexts.where(F.col("modality").isin("table", "image") & F.col("crop_path").isNotNull()).join(files.select(F.col("path").alias("crop_path")).distinct(), "crop_path", "left_semi")
+
+
+def montage_paths(sources: DataFrame, folder: str, document: Column, query: Column) -> DataFrame:
+    """(query_id, paths): the montage files of every query, tables before images; only kinds with a source have one."""
+    kinds = sources.select("query_id", "modality", F.concat(F.lit(folder.rstrip("/") + "/"), montage_name(document, F.col("modality"), query)).alias("path")).distinct()
+    return kinds.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("modality", "path")), asc=False), lambda x: x["path"]).alias("paths"))
+
+
+def data_url(path: Column, content: Column) -> Column:
+    """Image bytes as a data address; the kind follows the file name, PNG where it tells nothing."""
+    ending = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    kind = F.coalesce(F.create_map(*[F.lit(x) for p in MIME.items() for x in p])[ending], F.lit("image/png"))
+    return F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.base64(content))
+
+
+def endpoint(base: str) -> str:
+    """The address of chat completions below a service's base address."""
+    bare = base.rstrip("/")
+    return bare if bare.endswith("/chat/completions") else f"{bare}/chat/completions"
+
+
 def label(evidence_id: Column, page: Column, title: Column, key: Column) -> Column:
     """The line above an image in a montage."""
     name = F.substring(F.trim(F.coalesce(F.nullif(title, F.lit("")), key, F.lit(""))), 1, 90)

@@ -34,16 +34,30 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+_MADE: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Remove the intermediate tables of this driver; for long sessions, once no result needs them any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _MADE:
+        where = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += bool(where.getFileSystem(conf).delete(where, True))
+    return gone
+
+
 def written(frame: DataFrame, label: str = "step") -> DataFrame:
     """Write ``frame`` once to the shared folder and return the table read back.
 
-    Zstandard-compressed Parquet keeps the disk share small.  The table is removed when the
-    driver's file system closes.
+    Zstandard-compressed Parquet keeps the disk share small.  The table is removed by
+    ``clear``, or when the driver's file system closes.
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/folioloom/{label}-{uuid.uuid4().hex}"
     frame.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
+    _MADE.append(path)
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(frame.schema).parquet(path)

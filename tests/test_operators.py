@@ -3,6 +3,7 @@
 import json
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -494,6 +495,131 @@ def test_from_pages_to_answers(spark, tmp_path):
     assert row.mode == "text_only" and "Debt was repaid" in row.prompt and row.answer.startswith("Dry run answer")
 
 
+def test_commands_end_to_end(spark, tmp_path, capsys):
+    from folioloom.__main__ import main
+
+    folder = tmp_path / "ocr" / "DocB"
+    folder.mkdir(parents=True)
+    block = lambda k, label, content, y: {"block_label": label, "block_content": content, "block_bbox": [1, y, 300, y + 50], "block_id": k}
+    found = [block(1, "text", "Revenue rose in spring. Costs fell in summer. The board met twice.", 10), block(2, "table", "a", 200)]
+    (folder / "page_0001.json").write_text(json.dumps({"page_index": 0, "width": 600, "height": 800, "parsing_res_list": found}))
+    source, index = str(folder), str(tmp_path / "index")
+    main(["chunk", "--input", source, "--output", str(tmp_path / "c"), "--sentences-output", str(tmp_path / "s"), "--initial-output", str(tmp_path / "i"), "--window", "3", "--overlap", "1"])
+    assert spark.read.json(str(tmp_path / "s")).count() == 3 and spark.read.json(str(tmp_path / "i")).count() >= 1
+    main(["chunk", "--input", source, "--output", str(tmp_path / "c2"), "--sentences", str(tmp_path / "s"), "--no-merge"])
+    assert {i for r in spark.read.json(str(tmp_path / "c2")).collect() for i in r.ids} == {0, 1, 2}
+    main(["index", "--input", source, "--output", index, "--catalog", str(tmp_path / "catalog")])
+    main(["index", "--input", source, "--output", index, "--catalog", str(tmp_path / "catalog"), "--overwrite"])
+    entry = spark.read.json(str(tmp_path / "catalog")).collect()
+    assert [(r.document_id, r.modalities.text.dimension, r.modalities.table["count"]) for r in entry] == [("DocB", 64, 1)]
+    main(["search", "--input", index, "--document", "DocB", "--query", "costs fell", "--include-below", "--output", str(tmp_path / "hits")])
+    hits = spark.read.json(str(tmp_path / "hits")).collect()
+    assert [r["rank"] for r in hits] == list(range(1, len(hits) + 1)) and "Costs fell" in hits[0].content
+    for wrong in (["--query", " ", "--document", "DocB"], ["--query", "x", "--document", "DocC"], ["--query", "x", "--document", "DocB", "--modality", "image"]):
+        with pytest.raises(ValueError):
+            main(["search", "--input", index, *wrong])
+    main(["query", "--input", index, "--document", "DocB", "--query", "costs fell", "--output", str(tmp_path / "answer")])
+    row = spark.read.json(str(tmp_path / "answer")).first()
+    assert row.document_id == "DocB" and row.mode in ("multimodal", "raw_fallback", "text_only") and row.answer.startswith("Dry run answer")
+    with pytest.raises(SystemExit):
+        main(["chunk", "--input", source, "--output", str(tmp_path / "c3"), "--window", "2", "--overlap", "2"])
+
+
+def test_page_sources(spark, tmp_path):
+    """Page files before a single result before its layout boxes; titles told by a key."""
+    (tmp_path / "A").mkdir()
+    item = {"block_label": "text", "block_content": "page", "block_bbox": [1, 2, 3, 4], "sub_title": "yes"}
+    (tmp_path / "A" / "page_0001.json").write_text(json.dumps({"parsing_res_list": [item]}))
+    (tmp_path / "A.json").write_text(json.dumps({"parsing_res_list": [item | {"block_content": "single"}]}))
+    (tmp_path / "B.json").write_text(json.dumps({"parsing_res_list": [item | {"block_content": "only"}]}))
+    (tmp_path / "C.json").write_text(json.dumps({"layout_det_res": [{"boxes": [{"label": "table", "coordinate": [1, 9, 3, 12]}]}]}))
+    _, rows = pipelines.load_blocks(spark, [str(tmp_path / "*.json"), str(tmp_path / "A" / "*.json")])
+    assert sorted((r.document_id, r.content, r.has_title) for r in rows.collect()) == [("A", "page", True), ("B", "only", True), ("C", "", False)]
+    table = rows.where("document_id = 'C'").withColumn("document_id", F.lit("A"))
+    titled = assets.nearest_title(assets.assets_of(table), rows.where("document_id = 'A'"))
+    assert [r.title for r in titled.collect()] == ["page"]
+
+
+def test_saved_sentences(spark, tmp_path):
+    rows = [{"document_id": "d", "sentence_id": 1, "text": " a  b ", "page_index": 2}, {"document_id": "d", "sentence_id": 1, "text": "later"}, {"document_id": "d", "sentence_id": 2, "text": " "}, {"document_id": "d", "sentence_id": 3, "text": "c", "page": 9}]
+    (tmp_path / "s.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n")
+    got = json_io.read_sentences(spark, str(tmp_path / "s.jsonl")).orderBy("sentence_id").collect()
+    assert [tuple(r) for r in got] == [("d", 1, "a b", 3), ("d", 3, "c", 9)]
+
+
+def test_a_model_splits(spark):
+    class Halves:
+        def split(self, paragraph):
+            return paragraph.split(" / ")
+
+    rows = spark.createDataFrame([(1, "d", 0, 1, 1, "text", "one / two", [1, 2, 3, 4]), (2, "d", 0, 2, 2, "paragraph_title", "A / B", [1, 5, 3, 6])], BLOCKS)
+    got = pipelines.text_of(blocks.fields(rows), Halves()).orderBy("sentence_id").collect()
+    assert [r.text for r in got] == ["one", "two", "A / B"]
+
+
+def test_montage_files(spark):
+    rows = [(1, "table", "a.png"), (1, "image", "b.png"), (1, "text", "a.png"), (2, "image", "gone.png"), (3, "image", None)]
+    contexts = spark.createDataFrame(rows, "query_id bigint, modality string, crop_path string")
+    kept = evidence.montage_sources(contexts, spark.createDataFrame([("a.png",), ("b.png",), ("b.png",)], "path string"))
+    assert sorted((r.query_id, r.modality) for r in kept.collect()) == [(1, "image"), (1, "table")]
+    paths = evidence.montage_paths(kept, "out/", F.lit("Doc"), F.lit("q")).collect()
+    assert [(r.query_id, [("table" in x, x.startswith("out/")) for x in r.paths]) for r in paths] == [(1, [(True, True), (False, True)])]
+    f = spark.createDataFrame([("x/a.JPG", b"ab"), ("noname", b"")], "path string, content binary")
+    assert [r.v for r in f.select(evidence.data_url(F.col("path"), F.col("content")).alias("v")).collect()] == ["data:image/jpeg;base64,YWI=", "data:image/png;base64,"]
+    assert evidence.endpoint("http://h/v1/") == evidence.endpoint("http://h/v1/chat/completions") == "http://h/v1/chat/completions"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_search_within_documents(spark, seed, monkeypatch):
+    """Each query against the records of its document, by hand; a third of the records in one document."""
+    rng = random.Random(seed)
+    monkeypatch.setattr(vectors, "RECORD_BLOCK", 7)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 2)
+    doc = lambda: rng.choice(["a", "a", "b", "c", None])
+    vector = lambda: rng.choice([None, [], *[[float(rng.randrange(-2, 3)) for _ in range(4)] for _ in range(9)]])
+    stored = [(k, doc(), rng.choice(["text", "table", "image"]), vector()) for k in range(120)]
+    asked = [(k, rng.choice(["a", "b", "zz", None]), vector()) for k in range(12)]
+    r = spark.createDataFrame(stored, "vec_id bigint, document_id string, modality string, embedding array<float>")
+    q = spark.createDataFrame(asked, "query_id bigint, document_id string, embedding array<float>")
+    want = []
+    for key, d, v in asked:
+        for kind, most in (("text", 4), ("table", 2), ("image", 1)):
+            scores = sorted((-sum(x * y for x, y in zip(v, w)), n) for n, e, m, w in stored if e == d and m == kind and w) if v and d else []
+            want += [(key, kind, n, -s, at) for at, (s, n) in enumerate(scores[:most], 1)]
+    got = vectors.topk(r, q, {"text": 4, "table": 2, "image": 1}, within=True)
+    assert sorted((x.query_id, x.modality, x.vec_id, x.score, x["rank"]) for x in got.collect()) == sorted(want)
+    assert vectors.topk(r.limit(0), q, within=True).count() == 0 == vectors.topk(r, q.limit(0), within=True).count()
+
+
+def test_retrieval_without_hits_above(spark):
+    """One raw hit below its threshold for each modality."""
+    hits = spark.createDataFrame([(1, m, k, 0.42, 1) for k, m in enumerate(("text", "table", "image"))], "query_id bigint, modality string, vec_id bigint, score double, rank int")
+    row = vectors.trace(vectors.retrieve(hits, spark.createDataFrame([(1,)], "query_id bigint"), dict.fromkeys(("text", "table", "image"), 0.7))).first()
+    assert (row.mode, row.texts, row.tables, row.images, row.total, row.below, row.threshold_fallback, row.fallback_triggered) == ("raw_fallback", 1, 1, 1, 3, 3, True, True)
+
+
+def test_evidence_without_contexts(spark):
+    contexts = spark.createDataFrame([], "query_id bigint, modality string, evidence_id string, id string, page int, score double, title string, summary string, content string, place int, bbox array<double>")
+    row = evidence.packages(spark.createDataFrame([(1, "q")], "query_id bigint, query string"), contexts).first()
+    assert (row.texts, row.tables, row.images) == (0, 0, 0) and json.loads(row.package)["query"] == "q"
+
+
+def test_written_tables_are_cleared(spark):
+    from folioloom.sources import durable
+
+    frame = durable.written(spark.range(3))
+    path = frame.inputFiles()[0].removeprefix("file://")
+    assert Path(path).exists() and durable.clear(spark) >= 1 and not Path(path).exists()
+
+
+def test_records_of_model_output(spark):
+    """A mark missing, marks in another order, marks inside a line, records without a name."""
+    out = "noise\n[F] a.png\n[T] t [M] x\n[M] m\n[C] c\n  more  \n[F] b.png\n[T] t\n[C] c\n[F] \n[T] t\n[M] m\n[C] c\n [F] c.png\n[C] c\n[M] m\n[T] t\n[F] d.png\n[T]\n[M]\n[C] last"
+    frame = spark.createDataFrame([("d", ["a.png"], out), ("e", None, None), ("f", [], "")], "document_id string, expected array<string>, output string")
+    got = [(r.filename, r.title, r.metadata, r.content, r.status) for r in enrichment.parse(frame, "document_id").orderBy("position").collect()]
+    assert got == [("a.png", "t [M] x", "m", "c\n  more", "item"), ("d.png", "", "", "last", "unexpected")]
+
+
 def test_hashed_words():
     a, b, c = HashedWords(16).encode(["Same words", "same WORDS", ""])
     assert a == b and abs(sum(x * x for x in a) - 1) < 1e-9 and not any(c)
@@ -503,7 +629,13 @@ def test_streaming(spark, tmp_path, tables):
     from folioloom.streaming import ingest
 
     source = spark.read.parquet(f"{tables}/ocr_blocks.parquet")
-    source.write.parquet(str(tmp_path / "in"))
-    query = ingest.write_text(ingest.once(ingest.stream(spark, str(tmp_path / "in"), source.schema)), str(tmp_path / "out"), str(tmp_path / "check"))
-    query.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+    # the blocks of a page come in two batches
+    for part in (0, 1):
+        source.where(F.pmod("block_key", F.lit(2)) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = ingest.write_text(ingest.once(ingest.stream(spark, str(tmp_path / "in"), source.schema)), str(tmp_path / "out"), str(tmp_path / "check"))
+        query.awaitTermination(120)
+    kept = spark.read.parquet(str(tmp_path / "out" / "blocks")).drop("batch", "bucket")
+    columns = ["document_id", "page_index", "markdown", "blocks"]
+    got = ingest.read_text(spark, str(tmp_path / "out")).select(columns)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, blocks.markdown(blocks.fields(kept)).select(columns).collect()), key=repr)
+    assert {r.batch for r in spark.read.parquet(str(tmp_path / "out" / "pages")).select("batch").distinct().collect()} == {0, 1}
