@@ -436,9 +436,10 @@ def records_without_span(spark, d):
 
 @query
 def index_embedding(spark, d):
-    """Width and length of the vectors of every text record."""
+    """Width, length and filled dimensions of the vectors of every text record."""
     r = records.embed(records.text_records(_chunks(spark, d)), F.col("content"))
-    return r.select("chunk_key", F.size("embedding").alias("dimension"), F.round(arrays.dot(F.col("embedding"), F.col("embedding")), 3).alias("length"))
+    filled = F.filter(F.transform("embedding", lambda v, at: F.when(v > 0, at + 1).when(v < 0, -at - 1)), lambda v: v.isNotNull())
+    return r.select("chunk_key", F.size("embedding").alias("dimension"), F.round(arrays.dot(F.col("embedding"), F.col("embedding")), 3).alias("length"), filled.alias("filled"))
 
 
 @query
@@ -550,7 +551,12 @@ def answer_dry_run(spark, d):
 
 @query
 def evidence_package(spark, d):
-    return evidence.packages(_asked(spark, d), _contexts(spark, d))
+    """What the packages hold, read back from their JSON: the contexts of every kind in their order."""
+    made = evidence.packages(_asked(spark, d), _contexts(spark, d))
+    item = "array<struct<evidence_id string, id string, page bigint, score double, title string, summary string, content string>>"
+    back = F.from_json("package", f"query_id bigint, query string, contexts_by_modality struct<text {item}, `table` {item}, image {item}>")
+    parts = made.withColumn("p", back).withColumn("c", F.concat(*[F.coalesce(F.col(f"p.contexts_by_modality.{m}"), F.array().cast(item)) for m in ("text", "table", "image")]))
+    return parts.select("query_id", F.col("p.query").alias("query"), "texts", "tables", "images", *[F.col(f"c.{n}").alias(n) for n in ("evidence_id", "id", "page", "score", "title", "summary", "content")])
 
 
 @query

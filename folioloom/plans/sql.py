@@ -354,6 +354,10 @@ SQL: dict[str, str] = {
                || 'Table evidence:' || chr(10) || coalesce(t, 'None.') || chr(10) || chr(10) || 'Image evidence:' || chr(10) || coalesce(i, 'None.') AS prompt
         FROM asked q LEFT JOIN query_summaries s ON s.run_id = q.query_id LEFT JOIN parts p ON p.query_id = q.query_id
     ) SELECT query_id, length(prompt)::INT AS prompt_chars, 'Dry run answer ' || left(md5(prompt), 8) AS answer FROM prompts""",
+    "evidence_package": f"""WITH {_contexts()}, ranked AS (SELECT *, CASE modality WHEN 'text' THEN 0 WHEN 'table' THEN 1 ELSE 2 END AS kind FROM contexts)
+        SELECT q.query_id, any_value(s.query) AS query, count(*) FILTER (kind = 0)::INT AS texts, count(*) FILTER (kind = 1)::INT AS tables, count(*) FILTER (kind = 2)::INT AS images,
+               {", ".join(f"coalesce(list({'c.' + n} ORDER BY kind, place) FILTER (c.query_id IS NOT NULL), []) AS {n}" for n in ("evidence_id", "id", "page", "score", "title", "summary", "content"))}
+        FROM asked q LEFT JOIN query_summaries s ON s.run_id = q.query_id LEFT JOIN ranked c ON c.query_id = q.query_id GROUP BY 1""",
     "evidence_trace": f"""WITH {_contexts()} SELECT q.query_id, count(*) FILTER (modality = 'text')::INT AS texts, count(*) FILTER (modality = 'table')::INT AS tables, count(*) FILTER (modality = 'image')::INT AS images,
         tables > 0 AS table_montage, images > 0 AS image_montage FROM asked q LEFT JOIN contexts c ON c.query_id = q.query_id GROUP BY 1""",
     "montage_label": f"WITH {_contexts()} SELECT query_id, evidence_id, concat_ws(' | ', evidence_id, CASE WHEN page <> 0 THEN 'page ' || page END, nullif(left(trim(coalesce(nullif(title, ''), id)), 90), '')) AS label FROM contexts",
@@ -367,3 +371,11 @@ SQL: dict[str, str] = {
     "first_present": "SELECT run_id, coalesce(CASE WHEN trim(retrieval_mode) <> '' THEN retrieval_mode END, CASE WHEN trim(document_id) <> '' THEN document_id END, 'none') AS value, coalesce(try_cast(query AS DOUBLE)::BIGINT, 0) AS number, coalesce(fallback_triggered, false) AS fallback FROM query_summaries",
     "retrieval_summary": "SELECT coalesce(retrieval_mode, '<none>') AS mode, count(*) AS runs, count(*) FILTER (fallback_triggered) AS fallbacks, sum(text_hits)::BIGINT AS text_hits, sum(table_hits)::BIGINT AS table_hits, sum(image_hits)::BIGINT AS image_hits FROM query_summaries GROUP BY 1",
 }
+
+# the default embedder: words counted with a sign in the dimension that their MD5 names
+SQL["index_embedding"] = f"""WITH r AS ({SQL['text_records']}), words AS (
+    SELECT chunk_key, md5(unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+'))) AS m FROM r
+), sums AS (
+    SELECT chunk_key, (('0x' || left(m, 8))::UBIGINT % 64)::INT AS dim, sum(CASE WHEN ('0x' || substr(m, 9, 2))::INT % 2 = 1 THEN 1 ELSE -1 END) AS v FROM words GROUP BY 1, 2
+), held AS (SELECT chunk_key, list(CASE WHEN v > 0 THEN dim + 1 ELSE -dim - 1 END ORDER BY dim) AS filled FROM sums WHERE v <> 0 GROUP BY 1)
+SELECT chunk_key, 64 AS dimension, CASE WHEN filled IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS length, coalesce(filled, []) AS filled FROM r LEFT JOIN held USING (chunk_key)"""

@@ -638,4 +638,4 @@ def test_streaming(spark, tmp_path, tables):
     columns = ["document_id", "page_index", "markdown", "blocks"]
     got = ingest.read_text(spark, str(tmp_path / "out")).select(columns)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, blocks.markdown(blocks.fields(kept)).select(columns).collect()), key=repr)
-    assert {r.batch for r in spark.read.parquet(str(tmp_path / "out" / "pages")).select("batch").distinct().collect()} == {0, 1}
+    assert spark.read.parquet(str(tmp_path / "out" / "pages")).select("batch").distinct().count() == 2
