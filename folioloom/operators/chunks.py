@@ -1,7 +1,7 @@
 """Relations between chunks: text, overlap, containment, neighbours, validation.
 
-Pairs are found through the sentences they share, so work follows shared sentences and no
-document is compared with itself as a whole.
+Pairs are found through the rarest sentences they share, so no document is compared with itself as
+a whole and a sentence that many chunks share costs little.
 """
 
 from __future__ import annotations
@@ -32,20 +32,29 @@ def texts(chunks: DataFrame, sentences: DataFrame) -> DataFrame:
     return held.select("chunk_key", F.array_join(F.transform("parts", lambda x: x["text"]), " ").alias("text"), "pages").withColumn("words", text.word_count(F.col("text")))
 
 
-def _sharing(chunks: DataFrame) -> DataFrame:
-    """(a, b, shared): ordered pairs of chunks of one document by the number of sentences they share."""
+def _held(chunks: DataFrame) -> DataFrame:
+    """(document_id, chunk_key, ids, n, rare): chunks with their sentences, those of few holders first."""
     ids = chunks.select("document_id", "chunk_key", F.explode("ids").alias("sentence_id"))
-    other = ids.select("document_id", "sentence_id", F.col("chunk_key").alias("b"))
-    pairs = ids.withColumnRenamed("chunk_key", "a").join(other, ["document_id", "sentence_id"]).where("a < b")
-    return pairs.groupBy("document_id", "a", "b").agg(F.count("*").alias("shared"))
+    holders = ids.groupBy("document_id", "sentence_id").agg(F.count("*").alias("holders"))
+    rare = ids.join(holders, ["document_id", "sentence_id"]).groupBy("document_id", "chunk_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("holders", "sentence_id"))), lambda x: x["sentence_id"]).alias("rare"))
+    return chunks.select("document_id", "chunk_key", "ids", F.size("ids").alias("n")).join(rare, ["document_id", "chunk_key"])
 
 
 def overlapping(chunks: DataFrame, least: float = 0.8) -> DataFrame:
-    """(document_id, first_key, second_key, shared, overlap): pairs whose overlap reaches ``least``."""
-    size = chunks.select("chunk_key", F.size("ids").alias("n"))
-    pairs = _sharing(chunks).join(size.select(F.col("chunk_key").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("chunk_key").alias("b"), F.col("n").alias("nb")), "b")
-    ratio = F.col("shared") / F.least("na", "nb")
-    return pairs.where(ratio >= least).select("document_id", F.col("a").alias("first_key"), F.col("b").alias("second_key"), "shared", ratio.alias("overlap"))
+    """(document_id, first_key, second_key, shared, overlap): pairs whose overlap reaches ``least``.
+
+    The smaller chunk of such a pair shares so many of its sentences that one of its rarest few is
+    among them; only the holders of those are looked at, so a sentence that all chunks share
+    makes no pairs by itself.
+    """
+    held = _held(chunks)
+    few = F.col("n") - F.greatest(F.lit(1), F.ceil(F.lit(least) * F.col("n") - 1e-9)).cast("int") + 1
+    small = held.select("document_id", F.explode(F.slice("rare", F.lit(1), few)).alias("sentence_id"), F.col("chunk_key").alias("small"), F.col("ids").alias("small_ids"), F.col("n").alias("ns"))
+    large = held.select("document_id", F.explode("ids").alias("sentence_id"), F.col("chunk_key").alias("large"), F.col("ids").alias("large_ids"), F.col("n").alias("nl"))
+    pairs = small.join(large, ["document_id", "sentence_id"]).where((F.col("ns") < F.col("nl")) | ((F.col("ns") == F.col("nl")) & (F.col("small") < F.col("large"))))
+    shared = F.size(F.array_intersect("small_ids", "large_ids"))
+    counted = pairs.select("document_id", F.least("small", "large").alias("first_key"), F.greatest("small", "large").alias("second_key"), shared.cast("bigint").alias("shared"), (shared / F.col("ns")).alias("overlap")).where(F.col("overlap") >= least)
+    return counted.distinct()
 
 
 def contained(chunks: DataFrame) -> DataFrame:
@@ -54,12 +63,9 @@ def contained(chunks: DataFrame) -> DataFrame:
     Among equal sets the smaller key stays.  The target is the largest holder, then the smallest
     key; it always stays itself, so one pass gives what repeated removal would.
     """
-    ids = chunks.select("document_id", "chunk_key", F.explode("ids").alias("sentence_id"))
-    holders = ids.groupBy("document_id", "sentence_id").agg(F.count("*").alias("holders"))
     # whoever holds all sentences of a chunk holds its rarest, so only the holders of that are looked at
-    rarest = ids.join(holders, ["document_id", "sentence_id"]).groupBy("document_id", "chunk_key").agg(F.min_by("sentence_id", F.struct("holders", "sentence_id")).alias("sentence_id"))
-    sized = chunks.select("document_id", "chunk_key", "ids", F.size("ids").alias("n"))
-    small = sized.join(rarest, ["document_id", "chunk_key"]).select("document_id", "sentence_id", F.col("chunk_key").alias("small"), F.col("ids").alias("small_ids"), F.col("n").alias("ns"))
+    sized = _held(chunks)
+    small = sized.select("document_id", F.element_at("rare", 1).alias("sentence_id"), F.col("chunk_key").alias("small"), F.col("ids").alias("small_ids"), F.col("n").alias("ns"))
     large = sized.select("document_id", F.explode("ids").alias("sentence_id"), F.col("chunk_key").alias("large"), F.col("ids").alias("large_ids"), F.col("n").alias("nl"))
     pairs = small.join(large, ["document_id", "sentence_id"]).where((F.col("nl") > F.col("ns")) | ((F.col("nl") == F.col("ns")) & (F.col("large") < F.col("small"))))
     held = pairs.where(F.size(F.array_except("small_ids", "large_ids")) == 0)
