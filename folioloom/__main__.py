@@ -101,7 +101,7 @@ def build_evidence(a: argparse.Namespace) -> None:
 
 
 def run_query(a: argparse.Namespace) -> None:
-    _shown(pipelines.answer(*_asked(a)), a)
+    _shown(pipelines.answer(*_asked(a), strict=True), a)
 
 
 # fixed values: names of commands

@@ -24,6 +24,58 @@ def project_root(start: Path | None = None) -> Path:
     return next((p for p in (here, *here.parents) if (p / FILE).exists() or (p / ".git").exists()), here)
 
 
+def resolved(path: str | os.PathLike, root: Path) -> Path:
+    """An absolute path as it is, another one below ``root``."""
+    return root / Path(path)
+
+
+def relative(path: str | os.PathLike | None, root: Path) -> str:
+    """``path`` from ``root`` with forward slashes; outside of it the whole path; nothing for a blank one."""
+    if path is None or not str(path).strip():
+        return ""
+    whole, base = resolved(path, root).resolve(), root.resolve()
+    return (whole.relative_to(base) if whole.is_relative_to(base) else whole).as_posix()
+
+
+# fixed values: names of modalities, of montage kinds, and of servers that an OCR run may use, with their short names
+MODALITIES = ("text", "table", "image")
+MONTAGES = ("table", "image")
+BACKENDS = ("vllm-server", "sglang-server", "fastdeploy-server", "mlx-vlm-server", "llama-cpp-server")
+SHORT_BACKENDS = {"vllm": "vllm-server", "sglang": "sglang-server", "fastdeploy": "fastdeploy-server"}
+NO_BACKEND = frozenset({"", "0", "false", "local", "none", "null", "off"})
+
+
+def one_of(value: object, allowed: tuple[str, ...], what: str) -> str:
+    """``value`` trimmed and in lower case, if it is allowed."""
+    name = str(value or "").strip().lower()
+    if name not in allowed:
+        raise ValueError(f"{what} must be one of {', '.join(allowed)}, not {value!r}")
+    return name
+
+
+def document_id_of(value: object) -> str:
+    name = str(value or "").strip()
+    if not name:
+        raise ValueError("a document id is needed")
+    return name
+
+
+def backend_of(value: str | None) -> str | None:
+    """The server that an OCR run uses, or None for a local run."""
+    name = (value or "").strip()
+    return None if name.lower() in NO_BACKEND else one_of(SHORT_BACKENDS.get(name, name), BACKENDS, "the backend")
+
+
+def switch_of(value: object) -> bool:
+    """A switch given as a word; anything but a clear yes or no is an error."""
+    name = str(value).strip().lower()
+    if name in ("1", "true", "yes", "y", "on"):
+        return True
+    if name in ("0", "false", "no", "n", "off"):
+        return False
+    raise ValueError(f"{value!r} is neither yes nor no")
+
+
 @dataclass(frozen=True)
 class Config:
     values: Mapping[str, object] = field(default_factory=dict)

@@ -47,3 +47,27 @@ def lenient_int(value: Column) -> Column:
 def flag(value: Column) -> Column:
     """Whether a text says yes."""
     return F.lower(F.trim(F.coalesce(value, F.lit("")))).isin("1", "true", "yes", "y", "on")
+
+
+def lenient_number(value: Column) -> Column:
+    """The value as a number, 0 where it is none."""
+    return F.coalesce(value.try_cast("double"), F.lit(0.0))
+
+
+def strict(value: Column, kind: str, name: str) -> Column:
+    """The value as ``kind``; anything else, null included, is an error that names the field."""
+    cast = value.try_cast(kind)
+    return F.when(cast.isNotNull(), cast).otherwise(F.raise_error(F.concat(F.lit(f"{name} must be {kind}, got "), F.coalesce(value.cast("string"), F.lit("null")))).cast(kind))
+
+
+def optional(value: Column, kind: str = "string") -> Column:
+    """The value as ``kind``, null where it is missing or blank; a filled value of another kind is an error."""
+    filled = F.when(F.trim(value.cast("string")) != "", value)
+    return F.when(filled.isNotNull(), filled.cast(kind))
+
+
+def by_index_root(files: DataFrame) -> DataFrame:
+    """(document_id, path): index manifests below a folder, one per document; the last one modified counts."""
+    found = files.where("stem LIKE '%manifest%' OR folder LIKE '%/_manifest'").where("extension = 'json'")
+    named = found.withColumn("document_id", F.regexp_extract("folder", r"([^/]+?)(?:/_manifest)?$", 1))
+    return named.groupBy("document_id").agg(F.max_by("path", F.struct("modified", "path")).alias("path"))

@@ -21,6 +21,12 @@ def field(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(value, r"[ \t\r]+(?=\n|$)", ""), r"^\s+|\s+$", "")
 
 
+def batch_prompt(template: str, filenames: list[str]) -> str:
+    """The template with the batch's files, one a line, in place of ``{filenames}``; doubled braces stand for single ones."""
+    listed = "\n".join(f"- {name}" for name in filenames)
+    return listed.join(part.replace("{{", "{").replace("}}", "}") for part in template.split("{filenames}"))
+
+
 def dry_run(filenames: Column) -> Column:
     """The placeholder output for an array of file names; its words are fixed values."""
     return F.array_join(F.transform(filenames, lambda f: F.concat(F.lit("[F] "), f, F.lit("\n[T] DRY RUN\n[M] Dry run metadata.\n[C] Dry run content."))), "\n\n")
@@ -80,7 +86,7 @@ def enrich(files: DataFrame, vision: Vision | None = None, prompt: str = "", bat
             outputs, errors = [], []
             for names in b.column(2).to_pylist():
                 try:
-                    outputs.append(model.describe(names, prompt))
+                    outputs.append(model.describe(names, batch_prompt(prompt, names)))
                     errors.append(None)
                 except Exception as error:  # a provider may fail in any way
                     outputs.append("")

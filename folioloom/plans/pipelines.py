@@ -135,11 +135,11 @@ def manifest(index_rows: DataFrame, index_dir: str, embedding_model: str) -> Dat
     return stats.groupBy("document_id").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("modalities")).select("document_id", F.lit(embedding_model).alias("embedding_model"), F.lit(index_dir).alias("index_dir"), "modalities")
 
 
-def answer(queries: DataFrame, index_rows: DataFrame, settings: Retrieval, embedder: Embedder | None = None, answerer: Answerer | None = None) -> DataFrame:
+def answer(queries: DataFrame, index_rows: DataFrame, settings: Retrieval, embedder: Embedder | None = None, answerer: Answerer | None = None, strict: bool = False) -> DataFrame:
     """(query_id, query, document_id, mode, fallback_triggered, threshold_fallback, counts, contexts, prompt, answer) of every query.
 
     A query searches its ``document_id``; without that column all documents.  ``contexts`` are the
-    first ``SUMMARY_CONTEXTS``.  Retrieval, evidence and prompt are one plan; only the embedder and
+    first ``SUMMARY_CONTEXTS``.  An empty answer is null, or an error where ``strict``.  Retrieval, evidence and prompt are one plan; only the embedder and
     the answerer leave the JVM.
     """
     model, writer = embedder or HashedWords(), answerer or DryAnswerer()
@@ -155,7 +155,10 @@ def answer(queries: DataFrame, index_rows: DataFrame, settings: Retrieval, embed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([writer.answer(p, []).strip() for p in b.column(1).to_pylist()], pa.string())], names=["query_id", "prompt", "answer"])
+            said = [(writer.answer(p, []) or "").strip() or None for p in b.column(1).to_pylist()]
+            if strict and None in said:
+                raise ValueError("the model gave an empty answer")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.string())], names=["query_id", "prompt", "answer"])
 
     answers = prompts.select("query_id", "prompt").mapInArrow(run, "query_id bigint, prompt string, answer string")
     order = F.create_map(*[F.lit(x) for pair in (("text", 0), ("table", 1), ("image", 2)) for x in pair])[F.col("modality")]

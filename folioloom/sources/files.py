@@ -23,11 +23,15 @@ def document_pairs(files: DataFrame, require_markdown: bool = True) -> DataFrame
     return left.join(right, ["folder", "stem"], "inner" if require_markdown else "left").select("json", "markdown")
 
 
-def asset_jobs(files: DataFrame, documents: DataFrame) -> DataFrame:
-    """(json, pdf): each result file with the PDF of its stem; a missing PDF stays null and is an error of the caller."""
-    left = files.where("extension = 'json'").select(F.col("path").alias("json"), "stem")
+def asset_jobs(files: DataFrame, documents: DataFrame, strict: bool = False) -> DataFrame:
+    """(json, pdf): each result file with the PDF of its stem; derived ``_text`` files are left out.
+
+    A missing PDF stays null, or is an error that names the file where ``strict``.
+    """
+    left = files.where((F.col("extension") == "json") & ~F.col("stem").endswith("_text")).select(F.col("path").alias("json"), "stem")
     right = documents.where("extension = 'pdf'").select(F.col("path").alias("pdf"), "stem")
-    return left.join(right, "stem", "left").select("json", "pdf")
+    pdf = F.coalesce("pdf", F.raise_error(F.concat(F.lit("no PDF for "), F.col("json"))).cast("string")) if strict else F.col("pdf")
+    return left.join(right, "stem", "left").select("json", pdf.alias("pdf"))
 
 
 def images(files: DataFrame) -> DataFrame:

@@ -434,7 +434,7 @@ def test_files(spark, tmp_path):
         (tmp_path / name).write_text("x")
     listed = files.listing(spark, str(tmp_path))
     assert files.document_pairs(listed).count() == 1 and files.document_pairs(listed, False).count() == 2
-    assert files.images(listed).count() == 1 and files.asset_jobs(listed, listed).where("pdf IS NULL").count() == 3
+    assert files.images(listed).count() == 1 and files.asset_jobs(listed, listed).where("pdf IS NULL").count() == 2
 
 
 def test_json_tables(spark, tmp_path):
@@ -612,6 +612,33 @@ def test_written_tables_are_cleared(spark):
     assert Path(path).exists() and durable.clear(spark) >= 1 and not Path(path).exists()
 
 
+def test_values_of_settings(spark, tmp_path):
+    from folioloom import config
+
+    assert config.backend_of("vllm") == "vllm-server" and config.backend_of(" off ") is None and config.backend_of(None) is None
+    assert config.switch_of(" Yes ") and not config.switch_of("0") and config.one_of(" Table ", config.MONTAGES, "kind") == "table" and config.document_id_of(" d ") == "d"
+    for wrong in (lambda: config.backend_of("x"), lambda: config.switch_of("maybe"), lambda: config.one_of("text", config.MONTAGES, "kind"), lambda: config.document_id_of(" ")):
+        with pytest.raises(ValueError):
+            wrong()
+    assert config.relative(tmp_path / "a" / "b", tmp_path) == "a/b" == config.relative("a/b", tmp_path) and config.relative(" ", tmp_path) == "" and config.relative("/x/y", tmp_path) == "/x/y"
+    f = spark.createDataFrame([("12",), ("x",), (" ",), (None,)], "v string")
+    assert [tuple(r) for r in f.select(catalog.lenient_int(F.col("v")), catalog.lenient_number(F.col("v"))).collect()] == [(12, 12.0), (0, 0.0), (0, 0.0), (0, 0.0)]
+    assert [r.v for r in f.where("v IS NULL OR v <> 'x'").select(catalog.optional(F.col("v"), "int").alias("v")).collect()] == [12, None, None]
+    for column in (catalog.strict(F.col("v"), "int", "size"), catalog.optional(F.col("v"), "int")):
+        with pytest.raises(Exception, match="(size must be int|CAST_INVALID)"):
+            f.select(column).collect()
+    assert enrichment.batch_prompt("Look:\n{filenames}\n{{json}}", ["a{b}.png", "c.png"]) == "Look:\n- a{b}.png\n- c.png\n{json}"
+
+
+def test_jobs_need_their_pdf(spark, tmp_path):
+    for name in ("a.json", "a_text.json", "b.json", "a.pdf"):
+        (tmp_path / name).write_text("x")
+    held = files.listing(spark, str(tmp_path))
+    assert sorted((r.json.rsplit("/", 1)[1], bool(r.pdf)) for r in files.asset_jobs(held, held).collect()) == [("a.json", True), ("b.json", False)]
+    with pytest.raises(Exception, match="no PDF for"):
+        files.asset_jobs(held, held, strict=True).collect()
+
+
 def test_records_of_model_output(spark):
     """A mark missing, marks in another order, marks inside a line, records without a name."""
     out = "noise\n[F] a.png\n[T] t [M] x\n[M] m\n[C] c\n  more  \n[F] b.png\n[T] t\n[C] c\n[F] \n[T] t\n[M] m\n[C] c\n [F] c.png\n[C] c\n[M] m\n[T] t\n[F] d.png\n[T]\n[M]\n[C] last"
