@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Sequence
+from functools import lru_cache
 from typing import Protocol
 
 
@@ -45,6 +46,13 @@ class Renderer(Protocol):
     def render(self, source: str, page_index: int, crop: Sequence[float], size: Sequence[float]) -> bytes: ...
 
 
+@lru_cache(maxsize=200_000)
+def _hashed(word: str) -> tuple[int, float]:
+    """A number and a sign for a word, from its MD5."""
+    digest = hashlib.md5(word.encode("utf-8")).digest()
+    return int.from_bytes(digest[:4], "big"), 1.0 if digest[4] & 1 else -1.0
+
+
 class HashedWords:
     """Bag of words hashed into ``width`` signed dimensions, of length 1; an empty text is all zeros."""
 
@@ -57,8 +65,8 @@ class HashedWords:
         for text in texts:
             vector = [0.0] * self.width
             for word in re.findall(r"\w+", (text or "").lower()):
-                digest = hashlib.md5(word.encode("utf-8")).digest()
-                vector[int.from_bytes(digest[:4], "big") % self.width] += 1.0 if digest[4] & 1 else -1.0
+                number, sign = _hashed(word)
+                vector[number % self.width] += sign
             norm = sum(v * v for v in vector) ** 0.5
             out.append([v / norm for v in vector] if norm else vector)
         return out
