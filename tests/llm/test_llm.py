@@ -130,6 +130,29 @@ def test_words_that_do_not_travel_are_asked_for(spark):
     assert [r for r in got if r[1] != "truncated"] == [r for r in want if r[1] != "truncated"]
 
 
+def _odd_runs(seed=3):
+    """Texts of few words in all orders, most of them broken off, with pieces, names, figures and odd signs."""
+    rng = random.Random(seed)
+    words = "the renewal renew renewals der Erträge stiegen l'an d'euros Mio. Alverton Alver rose roses of in 12% $45 2022 ½ İstanbul ß trade-finance (see «avis» no. zzq Nettoerträge activité más".split()
+    rows = []
+    for k in range(600):
+        answer = " ".join(rng.choice(words[: rng.choice((6, 15, len(words)))]) for _ in range(rng.randrange(1, 14))) + rng.choice(("", "", ".", "...", " ?"))
+        rows.append((k, rng.choice((None, "", QUESTION, "Alverton: renewal-rate roses?", "Erträge von Alverton, l'an 2022?", "rose")), rng.choice((None, answer[:9], "")), answer))
+    return rows + rows[:5]
+
+
+@pytest.mark.parametrize("cap", [1, 25])
+def test_any_cap_gives_the_same_labels(spark, tables, cap):
+    for frame in (spark.read.parquet(f"{tables}/query_summaries.parquet"), spark.createDataFrame(_odd_runs(), RUNS)):
+        want = rows_of(pairs.labels(frame).withColumn("posterior", F.round("posterior", 6)), "run_id", "answer_field", "defect", "posterior")
+        assert {"truncated", "other_language"} <= {r[2] for r in want}
+        old, pairs.COMMON = pairs.COMMON, cap
+        try:
+            assert rows_of(pairs.labels(frame).withColumn("posterior", F.round("posterior", 6)), "run_id", "answer_field", "defect", "posterior") == want
+        finally:
+            pairs.COMMON = old
+
+
 def test_pairs_edges(spark):
     rows = [(1, None, None, None), (2, "", "", ""), (None, None, "x", LONG), (2, "", "", "")]
     frame = spark.createDataFrame([(*r, "extra", "1") for r in rows], RUNS + ", votes string, defect string")
