@@ -8,8 +8,9 @@ the form that was seen after the same word wins, then the more frequent one.  Nu
 when letters stand where only digits can.
 
 The supported forms travel with the scan while there are at most ``BROADCAST_FORMS`` of them.
-Beyond that the most frequent ones do, and every text asks for the rest: its forms are joined with
-the counts by skeleton in Spark and each text gets the answers it needs.  Both ways give the same.
+Beyond that the most frequent ones do, and a text that meets others asks for them: they are joined
+with the counts by skeleton in Spark and the text is worked through again with the answers, until it
+meets nothing that it was not told.  So a text sees the same lexicon whatever travels.
 
 Words are split when a hyphen-like sign stands at a line end, or before a blank where the joined
 word is a known one.  Running lines are found through the letters of header and footer lines of
@@ -143,9 +144,20 @@ class Lexicon:
             self.memory[form] = found
         return found
 
+    def lasting(self, word: str) -> bool:
+        """Whether what is known of ``word`` holds for the next text."""
+        return True
+
+    def supported(self, form: str) -> bool:
+        return form in self.counts
+
+    def seen(self, before: str, form: str) -> int:
+        """How often ``form`` was seen after the word ``before``."""
+        return self.before.get((before, form), 0)
+
     def known(self, word: str) -> bool:
         form = word.lower()
-        return form in self.counts or bool(self.rights(form))
+        return self.supported(form) or bool(self.rights(form))
 
     def misread(self, text: str) -> bool:
         """Whether ``text`` holds a misread word or number; words found fine are remembered."""
@@ -161,7 +173,7 @@ class Lexicon:
             right = self.right(word)
             if right and right != word:
                 wrong = True
-            else:
+            elif self.lasting(word):
                 self.fine.add(word)
         return wrong or (numbers and _misread_number(text))
 
@@ -176,7 +188,7 @@ class Lexicon:
             if re.search(r"[a-zß-ÿ][0159|][a-zß-ÿ]", word):
                 return word.replace("0", "o").replace("1", "l").replace("5", "s").replace("9", "g").replace("|", "l")
             return None
-        best = max(found, key=lambda f: (self.before.get((before.lower(), f), 0), self.counts[f]))
+        best = max(found, key=lambda f: (self.seen(before.lower(), f), self.counts[f])) if len(found) > 1 else found[0]
         return best.upper() if word.isupper() and len(word) > 1 else best[0].upper() + best[1:] if word[0].isupper() else best
 
 
@@ -245,7 +257,7 @@ def repair(text: str, lexicon: Lexicon) -> tuple[str, bool, bool]:
     last = ""
     for m in _TOKEN.finditer(bare):
         word = m.group()
-        if word.lower() not in lexicon.counts or lexicon.rights(word.lower()):
+        if not lexicon.supported(word.lower()) or lexicon.rights(word.lower()):
             right = lexicon.right(word, last)
             if right and right != word:
                 misread = True
@@ -319,16 +331,52 @@ def _counts(body: DataFrame, count, schema: str) -> DataFrame:
 
 
 class Overlay(Lexicon):
-    """The most frequent forms, and what a text was told about its others."""
+    """The most frequent forms and pairs, and what a text was told about its others.
+
+    ``partial`` names the tables (forms, pairs) of which only the most frequent rows travel;
+    ``missing`` gathers (form, word before or None) that the text met and was not told.
+    """
 
-    def __init__(self, common: Lexicon):
+    def __init__(self, common: Lexicon, partial: frozenset[str], facts: list[dict] | None = None):
         super().__init__({})
         self.common = common
+        self.fine = common.fine
+        self.partial = partial
+        self.told: dict[str, tuple[bool, tuple[str, ...]]] = {}
+        self.missing: set[tuple[str, str | None]] = set()
+        for f in facts or ():
+            if f["before"] is not None:
+                self.before[(f["before"], f["form"])] = f["n"]
+                continue
+            rights = sorted((-r["n"], r["right"]) for r in f["rights"] or ())
+            self.told[f["form"]] = f["n"] is not None, tuple(right for _, right in rights)
+            self.counts.update((right, -n) for n, right in rights)
         self.counts = ChainMap(self.counts, common.counts)
 
+    def _told(self, form: str) -> tuple[bool, tuple[str, ...]]:
+        found = self.told.get(form)
+        if found is None:
+            self.missing.add((form, None))
+        return found or (False, ())
+
+    def lasting(self, word: str) -> bool:
+        return "forms" not in self.partial or word.lower() in self.common.counts
+
+    def supported(self, form: str) -> bool:
+        return form in self.common.counts or ("forms" in self.partial and self._told(form)[0])
+
     def rights(self, form: str) -> tuple[str, ...]:
         # the right forms of a frequent form are more frequent still, so they are among them
-        return self.common.rights(form) if form in self.common.counts else self.memory.get(form, ())
+        if "forms" not in self.partial or form in self.common.counts:
+            return self.common.rights(form)
+        return self._told(form)[1] if len(form) > 1 else ()
+
+    def seen(self, before: str, form: str) -> int:
+        if not before or "pairs" not in self.partial or (before, form) in self.common.before:
+            return self.common.seen(before, form)
+        if (before, form) not in self.before:
+            self.missing.add((form, before))
+        return self.before.get((before, form), 0)
 
 
 def _stroked(form):
@@ -339,20 +387,21 @@ def _stroked(form):
 
 
 def forms_asked(text: str) -> set[str]:
-    """All forms whose counts can matter for ``text``, in lower case."""
+    """The forms that a ``text`` with split words is likely to meet, in lower case; what it meets besides is asked for later."""
     found: set[str] = set()
+    parts: set[str] = set()
     texts = [text]
     if _split_at_end(text):
         plain = text.replace("\r\n", "\n")
         texts += [_AT_END.sub(r"\1\2", plain), _AT_END.sub(r"\1-\2", plain)]
-        found.update(part for m in _AT_END.finditer(plain) for part in (m.group(1), m.group(2), m.group(1) + m.group(2)))
+        parts.update(part for m in _AT_END.finditer(plain) for part in (m.group(1), m.group(2), m.group(1) + m.group(2)))
     for each in texts:
         if _split_inside(each):
-            found.update(part for m in _INSIDE.finditer(each) for part in (m.group(1), m.group(2), m.group(1) + m.group(2)))
+            parts.update(part for m in _INSIDE.finditer(each) for part in (m.group(1), m.group(2), m.group(1) + m.group(2)))
             found.update(_TOKEN.findall(_bare(_INSIDE.sub(r"\1\2", each))))
         found.update(_TOKEN.findall(_bare(each)))
         found.update(_PLAIN_TOKENS(_bare(each)))
-    return {f.lower() for f in found if len(f) > 1 and not f.isdigit()}
+    return {f.lower() for f in found if len(f) > 1 and not f.isdigit()} | {p.lower() for p in parts}
 
 
 def form_counts(body: DataFrame) -> DataFrame:
@@ -391,12 +440,16 @@ def scanned(rows: DataFrame, text: str, work, schema: str, body: DataFrame, cont
         columns = list(zip(*results)) or [()] * len(outs)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=outs)
 
-    wide = counts.count() > BROADCAST_FORMS or (pairs is not None and pairs.count() > BROADCAST_FORMS)
-    most = counts.orderBy(F.col("n").desc(), "form").limit(BROADCAST_FORMS // 2) if wide else counts
-    known = {r.form: r.n for r in most.collect()}
-    if not wide:
-        before = {(r.before, r.form): r.n for r in pairs.collect()} if pairs is not None else None
-        shipped = rows.sparkSession.sparkContext.broadcast(Lexicon(known, before))
+    sizes = {"forms": counts.count(), "pairs": pairs.count() if pairs is not None else 0}
+    wide = max(sizes.values()) > BROADCAST_FORMS
+    most = BROADCAST_FORMS // 2
+    partial = frozenset(name for name, size in sizes.items() if wide and size > most)
+    known = {r.form: r.n for r in (counts.orderBy(F.col("n").desc(), "form").limit(most) if "forms" in partial else counts).collect()}
+    before = None
+    if pairs is not None:
+        before = {(r.before, r.form): r.n for r in (pairs.orderBy(F.col("n").desc(), "form", "before").limit(most) if "pairs" in partial else pairs).collect()}
+    shipped = rows.sparkSession.sparkContext.broadcast(Lexicon(known, before))
+    if not partial:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lexicon = shipped.value
@@ -404,18 +457,48 @@ def scanned(rows: DataFrame, text: str, work, schema: str, body: DataFrame, cont
                 yield batch_of([out for row in zip(*(c.to_pylist() for c in batch.columns)) for out in work(lexicon, row)])
 
         return rows.mapInArrow(run, schema)
-    # more forms than may travel: every text asks for those of its forms that are not among the common ones
-    fixed = written(rows.withColumn("row", F.xxhash64(*[F.col(n) for n in names])), "texts")
-    row_at = len(names)
-    shared = rows.sparkSession.sparkContext.broadcast(Lexicon(known))
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # more than may travel: a text that meets what it was not told gives no rows but asks, and comes again with the answers
+    def run_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs_ = [(r, f) for r, t in zip(batch.column(row_at).to_pylist(), batch.column(at).to_pylist()) if t for f in forms_asked(t) if f not in shared.value.counts]
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in pairs_], pa.int64()), pa.array([f for _, f in pairs_], pa.string())], names=["row", "form"])
-
-    asked = written(fixed.mapInArrow(ask, "row bigint, form string"), "asked")
-    forms = asked.select("form").distinct().join(counts, "form", "left").withColumn("strokes", _stroked(F.col("form")))
+            results: list[tuple] = []
+            asked: list[tuple] = []
+            for *row, number, facts in zip(*(c.to_pylist() for c in batch.columns)):
+                lexicon = Overlay(shipped.value, partial, facts)
+                found = work(lexicon, tuple(row))
+                if not lexicon.missing:
+                    results += found
+                    continue
+                if "forms" in partial and facts is None and (_split_at_end(row[at]) or _split_inside(row[at])):
+                    lexicon.missing.update((f, None) for f in forms_asked(row[at]) if f not in lexicon.common.counts)
+                asked.extend((number, form, last) for form, last in lexicon.missing)
+            done = batch_of(results)
+            asks = [pa.array([a[k] for a in asked], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+            names_ = [*outs, "row", "form", "before"]
+            yield pa.RecordBatch.from_arrays([*done.columns, *(pa.nulls(len(results), a.type) for a in asks)], names=names_)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(asked), k) for k in kinds), *asks], names=names_)
+
+    fixed = written(rows.withColumn("row", F.monotonically_increasing_id()), "texts")
+    pending = fixed.withColumn("facts", F.lit(None).cast("array<struct<form: string, before: string, n: bigint, rights: array<struct<right: string, n: bigint>>>>"))
+    done = asked = None
+    while True:
+        step = written(pending.mapInArrow(run_asked, f"{schema}, row bigint, form string, before string"), "round")
+        results = step.where("row IS NULL").select(*outs)
+        done = results if done is None else done.unionByName(results)
+        asks = step.where("row IS NOT NULL").select("row", "form", "before")
+        if asks.isEmpty():
+            return done
+        # what a text asked in earlier rounds is told again
+        again = asks.select("row").distinct()
+        asked = asks if asked is None else asked.unionByName(asks)
+        given = _answered(asked.join(again, "row", "left_semi"), counts, pairs).groupBy("row").agg(F.collect_list("fact").alias("facts"))
+        pending = fixed.join(given, "row").select(*names, "row", "facts")
+
+
+def _answered(asked: DataFrame, counts: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """(row, fact): count and right forms of every form asked for, the count of every pair."""
+    alone = asked.where("before IS NULL").select("row", "form")
+    forms = alone.select("form").distinct().join(counts, "form", "left").withColumn("strokes", _stroked(F.col("form")))
     good = counts.select(F.col("form").alias("right"), F.col("n").alias("right_n"), _stroked(F.col("form")).alias("strokes"))
     near = forms.join(good, "strokes").where((F.col("right") != F.col("form")) & (F.col("right_n") >= DOMINANCE * F.coalesce("n", F.lit(1))))
 
@@ -424,33 +507,13 @@ def scanned(rows: DataFrame, text: str, work, schema: str, body: DataFrame, cont
             yield batch.filter(pa.array([explained(f, r) for f, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], pa.bool_()))
 
     rights = near.select("form", "right", "right_n").mapInArrow(explain, "form string, right string, right_n bigint")
-    facts = forms.select("form", F.col("form").alias("right"), F.col("n").alias("right_n")).where("right_n IS NOT NULL").unionByName(rights)
-    facts = written(facts, "facts")
-    answers = asked.join(facts, "form").select("row", F.struct("form", "right", F.col("right_n").alias("n"), F.lit(None).cast("string").alias("before")).alias("fact"))
-    if pairs is not None:
-        several = facts.where("form <> right").join(facts.where("form <> right").groupBy("form").agg(F.count("*").alias("k")).where("k > 1").select("form"), "form", "left_semi")
-        seen = several.select(F.col("form").alias("asked"), F.col("right").alias("form")).join(pairs, "form").select("asked", "form", "before", "n")
-        answers = answers.unionByName(asked.withColumnRenamed("form", "asked").join(seen, "asked").select("row", F.struct(F.col("asked").alias("form"), F.col("form").alias("right"), "n", "before").alias("fact")))
-    given = answers.groupBy("row").agg(F.collect_set("fact").alias("facts"))
-
-    def run_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            results = []
-            for *row, facts_ in zip(*(batch.column(k).to_pylist() for k in range(len(names))), batch.column(len(names)).to_pylist()):
-                lexicon = Overlay(shared.value)
-                found: dict[str, list[tuple[int, str]]] = {}
-                for f in facts_ or ():
-                    if f["before"] is not None:
-                        lexicon.before[(f["before"], f["right"])] = f["n"]
-                        continue
-                    lexicon.counts.maps[0][f["right"]] = f["n"]
-                    if f["form"] != f["right"]:
-                        found.setdefault(f["form"], []).append((-f["n"], f["right"]))
-                lexicon.memory.update((k, tuple(f for _, f in sorted(v))) for k, v in found.items())
-                results += work(lexicon, tuple(row))
-            yield batch_of(results)
-
-    return fixed.join(given, "row", "left").select(*names, "facts").mapInArrow(run_asked, schema)
+    rights = rights.groupBy("form").agg(F.collect_list(F.struct("right", F.col("right_n").alias("n"))).alias("rights"))
+    facts = forms.select("form", "n").join(rights, "form", "left")
+    answers = alone.join(facts, "form").select("row", F.struct("form", F.lit(None).cast("string").alias("before"), "n", "rights").alias("fact"))
+    if pairs is None:
+        return answers
+    after = asked.where("before IS NOT NULL").join(pairs, ["form", "before"], "left")
+    return answers.unionByName(after.select("row", F.struct("form", "before", F.coalesce("n", F.lit(0)).alias("n"), F.lit(None).cast(facts.schema["rights"].dataType).alias("rights")).alias("fact")))
 
 
 def _running(blocks: DataFrame, body: DataFrame) -> DataFrame:

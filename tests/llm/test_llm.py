@@ -414,6 +414,35 @@ def test_rare_words_are_repaired_both_ways(spark):
         scan_noise.BROADCAST_FORMS = old
 
 
+def _odd_scans(seed=7):
+    """Blocks over frequent and rare words, then what a size of the lexicon might change; the last key of the frequent ones."""
+    rng = random.Random(seed)
+    rare = ["".join(rng.choice("aeou") + rng.choice("gkprstv") for _ in range(4)) for _ in range(150)] + ["x", "ß", "ray", "year", "٣٤"]
+    texts = [f"{BODY} so so"] * 200 + ["golden hcll " * 10] * 150 + ["ring bell " * 10] * 130 + ["the bcll"] * 60 + [" ".join(rare)] * 5
+    first = len(texts)
+    texts += ["reviewed the cornmit-\n3\ntee", "a 50-\nyear note", "the ring bcll", "a golden bcll", "of the x-\nray", "a- b|c- d", "the ß-\nray and ٣٤-\nyear", "x|mar- gin|c- so", "the cornmit- tee¬so-\nyear"]
+    words = BODY.split() + rare + "cornmit tee mar gin 50 10 x ß a b|c |imit bell hcll ring golden and <b> | a@b CET1 2O2S 3 reviewecl agree ments".split()
+    texts += ["".join(rng.choice(words) + rng.choice((" ", " ", " ", "-\n", "- ", "¬", "\n", "\n3\n", "|", " | ")) for _ in range(rng.randrange(2, 12))) for _ in range(400)]
+    return [(k, "d", "s", 2, "text", text) for k, text in enumerate(texts)], first
+
+
+def test_size_of_the_lexicon_changes_nothing(spark):
+    rows, first = _odd_scans()
+    frame = spark.createDataFrame([*rows, *rows[first : first + 9]], BLOCKS)
+    once = spark.createDataFrame(rows, BLOCKS)
+    noise = rows_of(scan_noise.noise_found(frame), "block_key", "noise")
+    text = rows_of(scan_noise.paragraphs(once), "block_key", "paragraph_no", "text")
+    assert noise.count((first, "misread")) == 2
+    assert {(first + 1, 1, "a 50-year note"), (first + 2, 1, "the ring bell"), (first + 3, 1, "a golden hcll"), (first + 4, 1, "of the x-ray")} <= set(text)
+    old = scan_noise.BROADCAST_FORMS
+    for scan_noise.BROADCAST_FORMS in (150, 2):
+        try:
+            assert rows_of(scan_noise.noise_found(frame), "block_key", "noise") == noise
+            assert rows_of(scan_noise.paragraphs(once), "block_key", "paragraph_no", "text") == text
+        finally:
+            scan_noise.BROADCAST_FORMS = old
+
+
 def test_strokes_as_a_column(spark):
     forms = ["cornmittee", "mwduhbi1|et0589qz62", "", "straße"]
     frame = spark.createDataFrame([(f,) for f in forms], "form string")
